@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from rankforge.llm import mixing, simhash
+from rankforge.llm import bpe, licenses, mixing, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_licenses": licenses.op2_licenses,
+    "op8_bpe": bpe.op8_bpe,
     "op9_mixing": mixing.op9_mixing,
 }
 
