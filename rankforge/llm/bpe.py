@@ -212,7 +212,7 @@ class Encoder:
         split: list[list[tuple[int | None, list[str]]]] = []
         for text in texts:
             parts: list[tuple[int | None, list[str]]] = []
-            cut = self.cut.split(text) if text and self.cut else [text or ""]
+            cut = self.cut.split(text) if text and any(a in text for a in self.v.added) else [text or ""]
             for part in cut:
                 special = self.v.added.get(part)
                 parts.append((special, [] if special is not None else self.pieces(part)))
@@ -224,7 +224,7 @@ class Encoder:
         for parts in split:
             for _, words in parts:
                 new.update(words)
-        new.difference_update(ids_of)
+        new = new.difference(ids_of)
         for w in new & older[0].keys():
             ids_of[w], text_of[w] = older[0][w], older[1][w]
         self.learn(new.difference(ids_of))
