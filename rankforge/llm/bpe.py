@@ -21,6 +21,7 @@ import json
 import unicodedata
 from array import array
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from rankforge.llm.common import read
 
 VOCABULARY = "word_bpe_49k.json"
-#: Distinct words whose encodings a worker keeps; beyond, those not met since the last turnover go.
-MEMORY = 300_000
+#: Distinct words whose encodings a worker keeps from batch to batch; beyond, it begins anew.
+MEMORY = 600_000
 
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + _SPACE + r"\p{L}\p{N}]+")
@@ -90,9 +91,14 @@ class Encoder:
         self.symbols = byte_symbols()
         self.table = {b: s for b, s in enumerate(self.symbols)}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(v.added, key=len, reverse=True))) + ")") if v.added else None
-        # Of each word known: its ids in bytes, and its tokens in text; before them those of the last turnover.
-        self.known: tuple[dict[str, bytes], dict[str, str]] = {}, {}
-        self.older: tuple[dict[str, bytes], dict[str, str]] = {}, {}
+        texts = [self.text.get(i, "").encode() + b" " for i in range(max(self.text) + 1)]
+        self.token_text, self.token_ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+        self.forget()
+
+    def forget(self) -> None:
+        """Words known by number; the ids of word k are flat[ends[k]:ends[k + 1]]."""
+        self.index: dict[str, int] = {}
+        self.flat, self.ends = array("I"), array("q", [0])
 
     def _automaton(self) -> None:
         """Of each text read so far, which tokens it ends in: Aho-Corasick over the inner tokens, longest first."""
@@ -193,8 +199,9 @@ class Encoder:
                 ids.append(last[at])
                 at -= ends[at]
             ids.reverse()
-            self.known[0][raw] = array("I", ids).tobytes()
-            self.known[1][raw] = " ".join(map(self.text.__getitem__, ids))
+            self.index[raw] = len(self.index)
+            self.flat.extend(ids)
+            self.ends.append(len(self.flat))
             before = word
 
     def pieces(self, text: str) -> list[str]:
@@ -207,41 +214,51 @@ class Encoder:
         """A word's bytes as symbols."""
         return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.table)
 
-    def encode_batch(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
-        """For each text its ids as little-endian unsigned 32-bit integers, and the decoded text."""
-        split: list[list[tuple[int | None, list[str]]]] = []
+    def encode_batch(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """For each text its ids as little-endian unsigned 32-bit integers, and the decoded text in UTF-8."""
+        if len(self.index) > MEMORY:
+            self.forget()
+        words: list[str] = []
+        counts = []
         for text in texts:
-            parts: list[tuple[int | None, list[str]]] = []
-            cut = self.cut.split(text) if text and any(a in text for a in self.v.added) else [text or ""]
-            for part in cut:
-                special = self.v.added.get(part)
-                parts.append((special, [] if special is not None else self.pieces(part)))
-            split.append(parts)
-        if len(self.known[0]) > MEMORY // 2:
-            self.known, self.older = ({}, {}), self.known
-        (ids_of, text_of), older = self.known, self.older
-        new: set[str] = set()
-        for parts in split:
-            for _, words in parts:
-                new.update(words)
-        new = new.difference(ids_of)
-        for w in new & older[0].keys():
-            ids_of[w], text_of[w] = older[0][w], older[1][w]
-        self.learn(new.difference(ids_of))
+            before = len(words)
+            if text and any(a in text for a in self.v.added):
+                for part in self.cut.split(text):
+                    if part in self.v.added:
+                        if part not in self.index:
+                            self.index[part] = len(self.index)
+                            self.flat.append(self.v.added[part])
+                            self.ends.append(len(self.flat))
+                        words.append(part)
+                    else:
+                        words += self.pieces(part)
+            elif text:
+                words += self.pieces(text)
+            counts.append(len(words) - before)
+        found = list(map(self.index.get, words))
+        if None in found:
+            self.learn({w for w, k in zip(words, found) if k is None})
+            found = list(map(self.index.__getitem__, words))
+        flat, ends = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.ends, np.int64)
+        at, word_ends = np.array(found, np.int64), np.cumsum([0, *counts])
+        ids, stops = gather(flat, ends, at)
+        said, said_stops = gather(self.token_text, self.token_ends, ids.astype(np.int64))
+        ids, said, cuts = ids.astype("<u4").tobytes(), said.tobytes(), stops[word_ends]
         out = []
-        for parts in split:
-            ids, said = [], []
-            for special, words in parts:
-                if special is not None:
-                    ids.append(array("I", [special]).tobytes())
-                    said.append(self.text[special])
-                elif words:
-                    ids.append(b"".join(map(ids_of.__getitem__, words)))
-                    said.append(" ".join(map(text_of.__getitem__, words)))
-            out.append((b"".join(ids), " ".join(said)))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            # Each token's text ends in a blank; the last one of a text goes.
+            out.append((ids[4 * a : 4 * b], said[said_stops[a] : max(said_stops[a], said_stops[b] - 1)]))
         return out
 
 
+def gather(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces flat[ends[k]:ends[k + 1]] for each k of at, one after another, and where each ends (from 0)."""
+    starts = ends[at]
+    stops = np.concatenate([[0], np.cumsum(ends[at + 1] - starts)])
+    shift = np.repeat(starts - stops[:-1], np.diff(stops))
+    return flat[shift + np.arange(len(shift))], stops
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -271,9 +288,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 n = pa.array([len(i) // 4 for i, _ in got], pa.int64())
                 if digest:
                     sha = lambda x: hashlib.sha256(x).hexdigest()
-                    ids, said = pa.array([sha(i) for i, _ in got], pa.string()), pa.array([sha(d.encode()) for _, d in got], pa.string())
+                    ids, said = pa.array([sha(i) for i, _ in got], pa.string()), pa.array([sha(d) for _, d in got], pa.string())
                 else:
-                    ids, said = pa.array([i for i, _ in got], pa.binary()), pa.array([d for _, d in got], pa.string())
+                    ids, said = pa.array([i for i, _ in got], pa.binary()), pa.array([d.decode() for _, d in got], pa.string())
                 yield pa.RecordBatch.from_arrays([b.column(0), n, ids, said], names=["id", "n_tokens", "ids", "said"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
