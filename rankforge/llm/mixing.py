@@ -145,13 +145,13 @@ def decide(docs: DataFrame, cycle=CYCLE, share: float = SHARE, cap: float = CAP,
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix: each row of docs as many times as decide() takes it (0, 1 or 2 times at the usual cap)."""
-    taken = decide(docs, **how).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("copies").alias("_copies"))
+    taken = decide(docs, **how).select(F.col("doc_id").alias("__rankforge_id"), F.col("tie").alias("__rankforge_tie"), F.col("copies").alias("__rankforge_copies"))
     # Rows that repeat are paired off by number; ties among them are alike.
     nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0)))
-    taken = taken.withColumn("_n", nth("_tie", "_id"))
-    own = docs.withColumn("_tie2", F.xxhash64("doc_id", "text")).withColumn("_n2", nth("_tie2", "doc_id"))
-    both = own.join(taken, (F.col("_tie2") == F.col("_tie")) & (F.col("_n2") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return both.where("_copies > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    taken = taken.withColumn("__rankforge_n", nth("__rankforge_tie", "__rankforge_id"))
+    own = docs.withColumn("__rankforge_tie2", F.xxhash64("doc_id", "text")).withColumn("__rankforge_n2", nth("__rankforge_tie2", "doc_id"))
+    both = own.join(taken, (F.col("__rankforge_tie2") == F.col("__rankforge_tie")) & (F.col("__rankforge_n2") == F.col("__rankforge_n")) & F.col("doc_id").eqNullSafe(F.col("__rankforge_id")))
+    return both.where("__rankforge_copies > 0").withColumn("__rankforge_k", F.explode(F.sequence(F.lit(1), F.col("__rankforge_copies")))).select(*docs.columns)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from rankforge.llm import bpe, licenses, mixing, simhash
+from rankforge.llm import bpe, language, licenses, mixing, secrets, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_licenses": licenses.op2_licenses,
+    "op4_secrets": secrets.op4_secrets,
+    "op5_language": language.op5_language,
     "op8_bpe": bpe.op8_bpe,
     "op9_mixing": mixing.op9_mixing,
 }

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import Stage, components, forest, read
+from rankforge.llm.common import ROW, Stage, components, forest, read
 
 SHINGLE, RADIUS, TILE, SEED = 3, 2, 4096, 42
 
@@ -146,11 +146,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     A row with a null doc_id stays only where its whole group has none; of equal ids one row stays.
     """
     stage = Stage(docs.sparkSession)
-    rows = stage.write(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    ids = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    rows = stage.write(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    ids = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(ROW).alias("row"))
     found = classes_of(rows.select(ids.alias("id"), "text"), "id")
-    kept = found.where("id = component_id").select("id._row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    kept = found.where("id = component_id").select(F.col("id.row").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
