@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from rankforge.llm import bpe, language, licenses, mixing, secrets, simhash
+from rankforge.llm import bpe, hmm, language, licenses, mixing, secrets, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_licenses": licenses.op2_licenses,
     "op4_secrets": secrets.op4_secrets,
     "op5_language": language.op5_language,
+    "op7_lm": hmm.op7_lm,
     "op8_bpe": bpe.op8_bpe,
     "op9_mixing": mixing.op9_mixing,
 }
