@@ -7,7 +7,7 @@ tokens, in segments of at most SEGMENT tokens side by side: every task sends its
 symbol, they are summed in Spark, and the driver gets SYMBOLS x STATES sums, whatever the input. Scores are exact:
 the scaled forward recursion over the whole text.
 
-The HEAD most frequent words of at most LONGEST bytes are looked up in the tasks (the table is bounded by both);
+Up to HEAD of the most frequent words of at most LONGEST bytes are looked up in the tasks (that bounds the table);
 all others are joined with the counts, each distinct word of a document once.
 
 Defined results: a null or empty text is one end; repeated rows are scored one by one (and learned from as often); a
@@ -84,18 +84,34 @@ class Lexicon:
         return math.log10((c + 1) / (self.other_total + self.other_distinct + 1))
 
 
+def _level() -> Column:
+    """Counts on a logarithmic scale of 32 levels to a doubling: at most 2016 levels."""
+    return F.floor(F.log2("c") * 32).cast("int")
+
+
 def lexicon(counts: DataFrame, symbols: int = SYMBOLS, head: int = HEAD) -> tuple[Lexicon, int]:
-    """The lexicon and the count from which on a word of at most LONGEST bytes may be in it."""
+    """The lexicon and its least level of counts: it holds all words of at most LONGEST bytes from that level on.
+
+    The level is read off a histogram, the lowest one above which at most head words stand.
+    """
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = counts.where(F.length("token") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    top = counts.where(F.length("token").between(1, LONGEST)).orderBy(F.desc("c"), "token").limit(head).toArrow()
-    names, c = top.column("token").to_pylist(), top.column("c").to_pylist()
+    short = counts.where(F.length("token").between(1, LONGEST)).withColumn("level", _level())
+    least, held = 0, 0
+    for level, n in sorted(short.groupBy("level").count().collect(), reverse=True):
+        held += n
+        if held > head:
+            least = level + 1
+            break
+    top = short.where(F.col("level") >= least).select("token", "c").toArrow()
+    ranked = sorted(zip(top.column("c").to_pylist(), top.column("token").to_pylist()), key=lambda x: (-x[0], x[1]))
+    names, c = [w for _, w in ranked], [n for n, _ in ranked]
     words = {w: (k + 2 if k < symbols - 2 else OTHER, n) for k, (w, n) in enumerate(zip(names, c))}
     own = np.zeros(symbols)
     own[END], own[2 : 2 + len(c)] = ends, c[: symbols - 2]
     own[OTHER] = total - own.sum()
     named = min(len(c), symbols - 2) + (ends > 0)
-    return Lexicon(words, total, distinct, (own + 1) / (total + symbols), int(own[OTHER]), distinct - named), c[-1] if len(c) == head else 0
+    return Lexicon(words, total, distinct, (own + 1) / (total + symbols), int(own[OTHER]), distinct - named), least
 
 
 @dataclass
@@ -281,7 +297,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", symbo
     spark = docs.sparkSession
     stage = Stage(spark)
     counts = stage.write(count_tokens(docs.where(~held_out(id_col)), text_col), "counts")
-    lex, cut = lexicon(counts, symbols, head)
+    lex, least = lexicon(counts, symbols, head)
     coded = stage.write(encode(docs, lex, id_col, text_col), "coded")
     model, _ = train(coded.where("not held_out"), lex.unigram, states, rounds)
     sent = spark.sparkContext.broadcast(model)
@@ -295,7 +311,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", symbo
     id_type = docs.schema[id_col].dataType.simpleString()
     scored = coded.select("row", "id", "held_out", "n_tokens", "ids", "known", "base", "inner").mapInArrow(run, f"row long, id {id_type}, held_out boolean, n_tokens long, known long, base double, score double")
     # Words outside the lexicon: only counts that can't be in it take part.
-    rare = counts.where((F.col("c") <= cut) | (F.length("token") > LONGEST))
+    rare = counts.where((_level() < least) | (F.length("token") > LONGEST))
     words = coded.select("row", F.explode("rest").alias("w")).select("row", "w.token", "w.tf").join(rare, "token", "left")
     c = F.coalesce("c", F.lit(0))
     by_row = words.groupBy("row").agg(
