@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from rankforge.llm import bpe, hmm, language, licenses, mixing, secrets, simhash
+from rankforge.llm import ann, bpe, embedding_dedup, hmm, language, licenses, mixing, secrets, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_licenses": licenses.op2_licenses,
+    "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
     "op4_secrets": secrets.op4_secrets,
     "op5_language": language.op5_language,
     "op7_lm": hmm.op7_lm,
     "op8_bpe": bpe.op8_bpe,
     "op9_mixing": mixing.op9_mixing,
+    "op10_ann": ann.op10_ann,
 }
 
 ORACLE_SQL: dict[str, str] = {}
