@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankforge.llm import ann, bpe, embedding_dedup, hmm, language, licenses, mixing, secrets, simhash
+from rankforge.llm import ann, bpe, embedding_dedup, hmm, language, licenses, mixing, passages, secrets, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
     "op4_secrets": secrets.op4_secrets,
     "op5_language": language.op5_language,
+    "op6_passages": passages.op6_passages,
     "op7_lm": hmm.op7_lm,
     "op8_bpe": bpe.op8_bpe,
     "op9_mixing": mixing.op9_mixing,
