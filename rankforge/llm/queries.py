@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from rankforge.llm import ann, bpe, embedding_dedup, hmm, language, licenses, mixing, passages, secrets, simhash
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_mixing": mixing.op9_mixing,
     "op10_ann": ann.op10_ann,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {}
