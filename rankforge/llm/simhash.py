@@ -1,9 +1,9 @@
 """SimHash near-dedup: tiled exact comparison of 64-bit fingerprints.
 
 A text's fingerprint is the bitwise majority of the XXH64 hashes of its word shingles. Equal fingerprints are one
-class; the distinct ones are laid out in cells by the population counts of their four 16-bit quarters. Two
-fingerprints that differ in at most r bits have quarter counts whose differences add up to at most r, so cell
-pairs further apart are skipped and no link is lost. A cell is cut into tiles of about TILE fingerprints; every
+class; the distinct ones are laid out in cells by the population counts of their quarters (halves, for
+radii over 2). Two fingerprints that differ in at most r bits have counts whose differences add up to at most r, so
+cell pairs further apart are skipped and no link is lost. A cell is cut into tiles of about TILE fingerprints; every
 pair of tiles that is left is compared with numpy exclusive-or and bit counts, and gives a spanning forest of its
 links, so thousands of mutually near copies cost one row each, not one for each pair.
 
@@ -56,10 +56,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, fp long")
 
 
+def parts_of(radius: int) -> int:
+    """Into how many equal parts of a fingerprint population counts are taken: neighbouring cells must stay few."""
+    return 4 if radius <= 2 else 2
+
+
 def half_offsets(radius: int) -> list[list[int]]:
-    """Differences of quarter counts within the radius, one of each opposite pair, and zero."""
-    steps = range(-radius, radius + 1)
-    return [list(d) for d in product(steps, repeat=4) if sum(map(abs, d)) <= radius and d >= (0, 0, 0, 0)]
+    """Differences of the parts' counts within the radius, one of each opposite pair, and zero."""
+    steps, parts = range(-radius, radius + 1), parts_of(radius)
+    return [list(d) for d in product(steps, repeat=parts) if sum(map(abs, d)) <= radius and d >= (0,) * parts]
 
 
 def compare(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,10 +95,11 @@ def compare(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.n
 
 def links(stage: Stage, classes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Links a-b that connect all distinct fingerprints classes(fp) within the radius, by exact tiled comparison."""
-    shift = lambda k: F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)))
-    cell = F.array(*(shift(k).cast("int") for k in range(4)))
+    width = 64 // parts_of(radius)
+    count = lambda k: F.bit_count(F.shiftrightunsigned("fp", width * k).bitwiseAND(F.lit((1 << width) - 1)))
+    cell = F.array(*(count(k).cast("int") for k in range(64 // width)))
     cells = stage.write(classes.select("fp", cell.alias("cell")), "cells")
-    # At most 17^4 cells whatever the input: this table may be broadcast.
+    # At most 17^4 cells, or 33^2, whatever the input: this table may be broadcast.
     n_tiles = cells.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("n_tiles"))
     tiles = (
         cells.join(F.broadcast(n_tiles), "cell")
@@ -140,15 +146,16 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fps.join(by_fp, "fp").select("id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
     """docs with one document of each group of near copies: the one with the smallest doc_id.
 
+    Five words to a shingle; four bits of 64 are an angle whose cosine is 0.98, well beyond a similarity of 0.8.
     A row with a null doc_id stays only where its whole group has none; of equal ids one row stays.
     """
     stage = Stage(docs.sparkSession)
     rows = stage.write(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
     ids = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(ROW).alias("row"))
-    found = classes_of(rows.select(ids.alias("id"), "text"), "id")
+    found = classes_of(rows.select(ids.alias("id"), "text"), "id", shingle=shingle, radius=radius)
     kept = found.where("id = component_id").select(F.col("id.row").alias(ROW))
     return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
