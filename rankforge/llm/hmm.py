@@ -70,18 +70,20 @@ def count_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
 class Lexicon:
     """The most frequent words with their counts and symbols, and the sums that all formulas need."""
 
-    words: dict[bytes, tuple[int, int]]  # word to (symbol, count)
+    words: list[bytes]  # the most frequent first
+    counts: np.ndarray  # of words
+    ends: int  # count of the end
     total: int  # N: all tokens
     distinct: int  # V: distinct tokens
     unigram: np.ndarray  # of symbols
     other_total: int
     other_distinct: int
 
-    def base(self, c) -> float:
-        return math.log10((c + 1) / (self.total + self.distinct + 1))
+    def base(self, c):
+        return np.log10((c + 1) / (self.total + self.distinct + 1))
 
-    def within_other(self, c) -> float:
-        return math.log10((c + 1) / (self.other_total + self.other_distinct + 1))
+    def within_other(self, c):
+        return np.log10((c + 1) / (self.other_total + self.other_distinct + 1))
 
 
 def _level() -> Column:
@@ -106,12 +108,11 @@ def lexicon(counts: DataFrame, symbols: int = SYMBOLS, head: int = HEAD) -> tupl
     top = short.where(F.col("level") >= least).select("token", "c").toArrow()
     ranked = sorted(zip(top.column("c").to_pylist(), top.column("token").to_pylist()), key=lambda x: (-x[0], x[1]))
     names, c = [w for _, w in ranked], [n for n, _ in ranked]
-    words = {w: (k + 2 if k < symbols - 2 else OTHER, n) for k, (w, n) in enumerate(zip(names, c))}
     own = np.zeros(symbols)
     own[END], own[2 : 2 + len(c)] = ends, c[: symbols - 2]
     own[OTHER] = total - own.sum()
     named = min(len(c), symbols - 2) + (ends > 0)
-    return Lexicon(words, total, distinct, (own + 1) / (total + symbols), int(own[OTHER]), distinct - named), least
+    return Lexicon(names, np.array(c, np.int64), ends, total, distinct, (own + 1) / (total + symbols), int(own[OTHER]), distinct - named), least
 
 
 @dataclass
@@ -225,24 +226,22 @@ def encode(docs: DataFrame, lex: Lexicon, id_col: str, text_col: str) -> DataFra
 
     def run(batches):
         lex = sent.value
-        base = {w: lex.base(c) for w, (_, c) in lex.words.items()}
-        within = {w: lex.within_other(c) for w, (s, c) in lex.words.items() if s == OTHER}
-        symbol = {w: s for w, (s, _) in lex.words.items()}
-        ends = round(lex.unigram[END] * (lex.total + len(lex.unigram)) - 1)
+        # One more entry, reached as number -1, is for words outside the lexicon.
+        number, named = {w: k for k, w in enumerate(lex.words)}, len(lex.unigram) - 2
+        base = np.append(lex.base(lex.counts), 0.0)
+        inner = np.append(lex.within_other(lex.counts), 0.0)
+        inner[: min(named, len(lex.words))] = 0.0
+        symbol = np.append(np.where(np.arange(len(lex.words)) < named, np.arange(len(lex.words)) + 2, OTHER), OTHER).astype("<u2")
+        ends_known, ends_base = int(lex.ends > 0), float(lex.base(lex.ends))
         for b in batches:
             rows = []
             for text in b.column(2):
                 words = words_of(text.as_py())
-                ids = np.array([*(symbol.get(w, OTHER) for w in words), END], "<u2")
-                rest, known, sums, inner = [], int(ends > 0), lex.base(ends), 0.0
-                for w, n in Counter(words).items():
-                    if w in base:
-                        known += n
-                        sums += n * base[w]
-                        inner += n * within.get(w, 0.0)
-                    else:
-                        rest.append({"token": w, "tf": n})
-                rows.append((len(words) + 1, ids.tobytes(), known, sums, inner, rest))
+                at = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
+                rest = Counter(words[k] for k in np.flatnonzero(at < 0).tolist())
+                ids = np.append(symbol[at], np.array([END], "<u2")).tobytes()
+                known = len(words) - rest.total() + ends_known
+                rows.append((len(words) + 1, ids, known, base[at].sum() + ends_base, inner[at].sum(), [{"token": w, "tf": n} for w, n in rest.items()]))
             types = (pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), rest_type)
             columns = list(zip(*rows)) or [()] * len(types)
             new = [pa.array(c, t) for c, t in zip(columns, types)]
