@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class UnrankedBoolean:
     default = "#AND"
+    uses_statistics = False
 
     def score(self, tf: Column, df: Column, length: Column, average: Column, num_docs: int) -> Column:
         return F.lit(1.0)
@@ -19,6 +20,7 @@ class UnrankedBoolean:
 @dataclass(frozen=True)
 class RankedBoolean:
     default = "#AND"
+    uses_statistics = False
 
     def score(self, tf: Column, df: Column, length: Column, average: Column, num_docs: int) -> Column:
         return tf.cast("double")
@@ -31,6 +33,7 @@ class BM25:
     k1: float = 1.2
     b: float = 0.75
     default = "#SUM"
+    uses_statistics = True
 
     def score(self, tf: Column, df: Column, length: Column, average: Column, num_docs: int) -> Column:
         idf = F.log((F.lit(float(num_docs)) - df + 0.5) / (df + 0.5) + 1.0)

@@ -1,16 +1,17 @@
 """Compilation of a batch of query trees into one DataFrame plan.
 
-All queries' nodes are numbered together and evaluated level by level: one scan for all leaf terms, one grouping for
-each level of position operators, one join with document frequencies, one grouping for each level of score operators.
-The plan grows with the depth of the deepest tree, not with the number of queries. What is broadcast are the nodes of
-the queries, never anything of the corpus.
+All queries' nodes are numbered together and evaluated from the roots down: one grouping for each depth of score
+operators, one join with document frequencies, one grouping for each level of position operators, and a scan for the
+terms that each of these consumes. The plan grows with the depth of the deepest tree, not with the number of queries. What
+is broadcast are the nodes of the queries, never anything of the corpus.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.functions import positions
@@ -48,98 +49,126 @@ def number(trees: dict[str, Node]) -> list[_Entry]:
     return out
 
 
-def _broadcast(index: Index, rows: list[tuple], schema: str) -> DataFrame:
-    return F.broadcast(index.docs.sparkSession.createDataFrame(rows, schema))
-
-
-def _one_of(column: Column, ids: list[int]) -> Column:
-    return column.isin(ids)
-
-
-def leaves(index: Index, entries: list[_Entry], with_positions: bool) -> DataFrame:
-    """(node, docid, tf, len_all, positions) of all terms of all queries."""
-    terms = [(e.node.field, e.node.term, e.id) for e in entries if e.node.op == "TERM"]
-    wanted = sorted({t for _, t, _ in terms})
-    found = index.postings.where(F.col("field").isin(sorted({f for f, *_ in terms})))
-    if len(wanted) <= FILTER_TERMS:
-        found = found.where(F.col("term").isin(wanted))
-    columns = ["docid", "tf", "len_all"] + ["positions"] * with_positions
-    return found.join(_broadcast(index, terms, "field string, term string, node int"), ["field", "term"]).select("node", *columns)
-
-
-def _position_level(index: Index, pool: DataFrame, parents: list[_Entry], entries: list[_Entry], counted: set[int]) -> DataFrame:
-    """Postings of position operators of one level from those of their arguments."""
-    ids = {e.id for e in parents}
-    edges = [(e.id, e.parent, e.place, len(entries[e.parent].node.args), entries[e.parent].node.op, entries[e.parent].node.n or 0) for e in entries if e.parent in ids]
-    children = pool.join(_broadcast(index, edges, "node int, parent int, place int, n_args int, op string, n int"), "node")
-    grouped = children.groupBy("parent", "docid", "n_args", "op", "n").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("place", "positions"))), lambda x: x["positions"]).alias("lists"), F.max("len_all").alias("len_all")
-    )
-    grouped = grouped.where((F.col("op") == "SYN") | (F.size("lists") == F.col("n_args")))
-    lists, n = F.col("lists"), F.col("n")
-    only_count = _one_of(F.col("parent"), sorted(counted & ids)) if counted & ids else F.lit(False)
-    ends = F.when(F.col("op") == "SYN", positions.union(lists)).when(F.col("op") == "WINDOW", positions.window_ends(lists, n))
-    ends = ends.when(~only_count, positions.chain_ends(lists, n)).otherwise(F.array().cast("array<int>"))
-    count = F.when((F.col("op") == "NEAR") & only_count, positions.chain_count(lists, n)).otherwise(F.size("positions")).cast("long")
-    out = grouped.withColumn("positions", ends).withColumn("tf", count)
-    return out.where("tf > 0").select(F.col("parent").alias("node"), "docid", "tf", "len_all", "positions")
+class _Batch:
+    """The nodes of a batch and the rows that they give.
+
+    Rows are asked for by the nodes that consume them, so each scan reads the terms of its consumers only, and the plan
+    holds every posting list once for its score (and once, without positions, for its document frequency).
+    """
+
+    def __init__(self, index: Index, trees: dict[str, Node]):
+        self.index, self.entries = index, number(trees)
+        # Of chains that only a SCORE sees, the number is enough; it needs ascending lists, so not chains of chains.
+        self.counted = {e.id for e in self.entries if e.node.op == "NEAR" and self._parent_op(e) == "SCORE" and all(a.op != "NEAR" for a in e.node.args)}
+        self._made: dict[int, DataFrame] = {}
+
+    def _parent_op(self, e: _Entry) -> str | None:
+        return self.entries[e.parent].node.op if e.parent >= 0 else None
+
+    def table(self, rows: list[tuple], schema: str) -> DataFrame:
+        return F.broadcast(self.index.docs.sparkSession.createDataFrame(rows, schema))
+
+    def leaves(self, terms: list[_Entry], with_positions: bool) -> DataFrame:
+        """(node, docid, tf, len_all, positions) of terms, by one scan."""
+        wanted = sorted({e.node.term for e in terms})
+        found = self.index.postings.where(F.col("field").isin(sorted({e.node.field for e in terms})))
+        if len(wanted) <= FILTER_TERMS:
+            found = found.where(F.col("term").isin(wanted))
+        nodes = self.table([(e.node.field, e.node.term, e.id) for e in terms], "field string, term string, node int")
+        positions_ = F.col("positions") if with_positions else F.lit(None).cast("array<int>").alias("positions")
+        return found.join(nodes, ["field", "term"]).select("node", "docid", F.col("tf").cast("long").alias("tf"), "len_all", positions_)
+
+    def lists(self, wanted: list[_Entry], with_positions: bool = True) -> DataFrame:
+        """Postings of position operators, terms or not."""
+        parts = []
+        terms = [e for e in wanted if e.node.op == "TERM"]
+        if terms:
+            parts.append(self.leaves(terms, with_positions))
+        levels = sorted({e.level for e in wanted if e.node.op != "TERM"})
+        for level in levels:
+            made = self._level(level)
+            if sum(e.node.positional and e.level == level for e in self.entries) > sum(e.level == level for e in wanted if e.node.op != "TERM"):
+                made = made.where(F.col("node").isin([e.id for e in wanted if e.level == level]))
+            parts.append(made)
+        return reduce(DataFrame.unionByName, parts)
+
+    def _level(self, level: int) -> DataFrame:
+        """Postings of all position operators of one level."""
+        if level in self._made:
+            return self._made[level]
+        parents = [e for e in self.entries if e.node.positional and e.level == level]
+        ids = {e.id for e in parents}
+        below = [e for e in self.entries if e.parent in ids]
+        edges = [(e.id, e.parent, e.place, len(self.entries[e.parent].node.args), self.entries[e.parent].node.op, self.entries[e.parent].node.n or 0) for e in below]
+        children = self.lists(below).join(self.table(edges, "node int, parent int, place int, n_args int, op string, n int"), "node")
+        grouped = children.groupBy("parent", "docid", "n_args", "op", "n").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("place", "positions"))), lambda x: x["positions"]).alias("lists"), F.max("len_all").alias("len_all")
+        )
+        grouped = grouped.where((F.col("op") == "SYN") | (F.size("lists") == F.col("n_args")))
+        lists, n = F.col("lists"), F.col("n")
+        counted = sorted(self.counted & ids)
+        only_count = F.col("parent").isin(counted) if counted else F.lit(False)
+        ends = F.when(F.col("op") == "SYN", positions.union(lists)).when(F.col("op") == "WINDOW", positions.window_ends(lists, n))
+        ends = ends.when(~only_count, positions.chain_ends(lists, n)).otherwise(F.array().cast("array<int>"))
+        count = F.when((F.col("op") == "NEAR") & only_count, positions.chain_count(lists, n)).otherwise(F.size("positions")).cast("long")
+        out = grouped.withColumn("positions", ends).withColumn("tf", count)
+        self._made[level] = out.where("tf > 0").select(F.col("parent").alias("node"), "docid", "tf", "len_all", "positions")
+        return self._made[level]
+
+    def scored(self, wanted: list[_Entry], model) -> DataFrame:
+        """(node, docid, score) of SCORE nodes."""
+        below = {e.parent: e for e in self.entries if self._parent_op(e) == "SCORE"}
+        own = [below[e.id] for e in wanted]
+        rows = self.lists(own, with_positions=False)
+        nodes = [(e.id, e.parent, self.index.stats(e.node.field).average if model.uses_statistics else 1.0) for e in own]
+        rows = rows.join(self.table(nodes, "node int, parent int, average double"), "node")
+        if model.uses_statistics:
+            df = rows.groupBy("node").agg(F.count("*").alias("df"))  # a row for each node at most
+            rows, num_docs = rows.join(F.broadcast(df), "node"), self.index.num_docs
+        else:
+            rows, num_docs = rows.withColumn("df", F.lit(0)), 0
+        score = model.score(F.col("tf"), F.col("df"), F.col("len_all"), F.col("average"), num_docs)
+        return rows.select(F.col("parent").alias("node"), "docid", score.alias("score"))
+
+    def combined(self, wanted: list[_Entry], model) -> DataFrame:
+        """(node, docid, score) of score operators of any kind."""
+        parts = []
+        plain = [e for e in wanted if e.node.op == "SCORE"]
+        if plain:
+            parts.append(self.scored(plain, model))
+        rest = [e for e in wanted if e.node.op != "SCORE"]
+        if rest:
+            ids = {e.id for e in rest}
+            below = [e for e in self.entries if e.parent in ids]
+            edges = [(e.id, e.parent, e.place, e.weight if self._parent_op(e) == "WSUM" else 1.0, len(self.entries[e.parent].node.args), self._parent_op(e)) for e in below]
+            children = self.combined(below, model).join(self.table(edges, "node int, parent int, place int, weight double, n_args int, op string"), "node")
+            grouped = children.groupBy("parent", "docid", "n_args", "op").agg(
+                F.count("*").alias("met"), F.min("score").alias("low"), F.max("score").alias("high"), F.collect_list(F.struct("place", (F.col("weight") * F.col("score")).alias("s"))).alias("parts")
+            )
+            # Sums run in the order of arguments, so they don't depend on the order in which rows arrive.
+            total = F.aggregate(F.array_sort("parts"), F.lit(0.0), lambda a, x: a + x["s"])
+            value = F.when(F.col("op") == "AND", F.col("low")).when(F.col("op") == "OR", F.col("high")).otherwise(total)
+            parts.append(grouped.where((F.col("op") != "AND") | (F.col("met") == F.col("n_args"))).select(F.col("parent").alias("node"), "docid", value.alias("score")))
+        return reduce(DataFrame.unionByName, parts)
+
+    def by_query(self, rows: DataFrame) -> DataFrame:
+        roots = [(e.id, e.qid) for e in self.entries if e.parent < 0]
+        return rows.join(self.table(roots, "node int, qid string"), "node").drop("node")
+
+    @property
+    def roots(self) -> list[_Entry]:
+        return [e for e in self.entries if e.parent < 0]
 
 
 def postings_of(index: Index, trees: dict[str, Node]) -> DataFrame:
     """(qid, docid, tf, len_all, positions) of position operators: the inverted lists of trees without scores."""
-    entries = number({qid: t.args[0] if t.op == "SCORE" else t for qid, t in trees.items()})
-    pool = _positions(index, entries, set())
-    roots = [(e.id, e.qid) for e in entries if e.parent < 0]
-    return pool.join(_broadcast(index, roots, "node int, qid string"), "node").drop("node")
-
-
-def _positions(index: Index, entries: list[_Entry], counted: set[int]) -> DataFrame:
-    deep = max((e.level for e in entries if e.node.positional), default=0)
-    pool = leaves(index, entries, deep > 0 or not any(e.node.op == "SCORE" for e in entries))
-    if deep and "tf" in pool.columns:
-        pool = pool.withColumn("tf", F.col("tf").cast("long"))
-    for level in range(1, deep + 1):
-        parents = [e for e in entries if e.node.positional and e.level == level]
-        if parents:
-            pool = pool.unionByName(_position_level(index, pool, parents, entries, counted))
-    return pool
+    batch = _Batch(index, {qid: t.args[0] if t.op == "SCORE" else t for qid, t in trees.items()})
+    return batch.by_query(batch.lists(batch.roots))
 
 
 def scores(index: Index, trees: dict[str, Node], model) -> DataFrame:
     """(qid, docid, score) of every document that matches its query; trees have a score operator on top."""
-    entries = number(trees)
-    spark = index.docs.sparkSession
-    if not entries:
-        return spark.createDataFrame([], "qid string, docid long, score double")
-    # Of chains that only a SCORE sees, the number is enough; it needs ascending lists, so not chains of chains.
-    counted = {e.id for e in entries if e.node.op == "NEAR" and e.parent >= 0 and entries[e.parent].node.op == "SCORE" and all(a.op != "NEAR" for a in e.node.args)}
-    pool = _positions(index, entries, counted)
-    scored = [(e.id, e.parent, index.stats(e.node.field).average) for e in entries if e.node.positional and e.parent >= 0 and entries[e.parent].node.op == "SCORE"]
-    below = pool.join(_broadcast(index, scored, "node int, parent int, average double"), "node")
-    df = below.groupBy("node").agg(F.count("*").alias("df"))  # a row for each node at most
-    num_docs = index.num_docs if type(model).__name__ == "BM25" else 0
-    score = model.score(F.col("tf"), F.col("df"), F.col("len_all"), F.col("average"), num_docs)
-    if type(model).__name__ == "BM25":
-        below = below.join(F.broadcast(df), "node")
-    else:
-        below = below.withColumn("df", F.lit(0))
-    current = below.select(F.col("parent").alias("node"), "docid", score.alias("score"))
-    deep = max(e.level for e in entries)
-    for level in range(1, deep + 1):
-        parents = [e for e in entries if not e.node.positional and e.node.op != "SCORE" and e.level == level]
-        if not parents:
-            continue
-        ids = {e.id for e in parents}
-        edges = [(e.id, e.parent, e.place, e.weight if entries[e.parent].node.op == "WSUM" else 1.0, len(entries[e.parent].node.args), entries[e.parent].node.op) for e in entries if e.parent in ids]
-        children = current.join(_broadcast(index, edges, "node int, parent int, place int, weight double, n_args int, op string"), "node")
-        grouped = children.groupBy("parent", "docid", "n_args", "op").agg(
-            F.count("*").alias("met"), F.min("score").alias("low"), F.max("score").alias("high"), F.collect_list(F.struct("place", (F.col("weight") * F.col("score")).alias("s"))).alias("parts")
-        )
-        # Sums run in the order of arguments, so they don't depend on the order in which rows arrive.
-        total = F.aggregate(F.array_sort("parts"), F.lit(0.0), lambda a, x: a + x["s"])
-        combined = grouped.where((F.col("op") != "AND") | (F.col("met") == F.col("n_args"))).select(
-            F.col("parent").alias("node"), "docid", F.when(F.col("op") == "AND", F.col("low")).when(F.col("op") == "OR", F.col("high")).otherwise(total).alias("score")
-        )
-        current = current.unionByName(combined)
-    roots = [(e.id, e.qid) for e in entries if e.parent < 0]
-    return current.join(_broadcast(index, roots, "node int, qid string"), "node").select("qid", "docid", "score")
+    if not trees:
+        return index.docs.sparkSession.createDataFrame([], "qid string, docid long, score double")
+    batch = _Batch(index, trees)
+    return batch.by_query(batch.combined(batch.roots, model)).select("qid", "docid", "score")
