@@ -5,13 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 #: Names of our own columns beside a caller's.
-ROW = "__rankforge_row"
+ROW, KEY, KEY2 = "__rankforge_row", "__rankforge_key", "__rankforge_key2"
+
+
+def identity(*columns: str) -> list[Column]:
+    """Two 64-bit hashes that tell rows apart by the columns' values, null included; equal rows share them."""
+    return [F.xxhash64(*columns), F.xxhash64(F.lit(1), *reversed(columns))]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +36,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the time of an action."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 class Stage:
     """Tables written in the shared folder: an executor's loss costs no recomputation beyond the running job.
 

@@ -3,7 +3,7 @@
 Unit vectors with cosine c are sqrt(2 - 2c) apart. After a random rotation (fixed by the dimension alone) the
 coordinates are split into BLOCKS blocks; each gets a part of the squared distance in proportion to its dimensions,
 and two vectors within the whole must be within the part of at least one block. Each block is a range join: a grid
-over the block's first coordinates, twice as wide as the block's radius, where every vector also visits the
+over the block's first coordinate, twice as wide as the block's radius, where every vector also visits the
 neighbouring cells that its ball reaches (one of two neighbours visits the other). Cells are cut into tiles of about
 TILE vectors; a task takes two tiles, filters by the block's squared distances and verifies what is left by the
 cosine in double precision. A link counts in the first block whose budget it meets, so it counts once.
@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import Stage, components, forest, read
+from rankforge.llm.common import Stage, components, forest, read, setting
 
-COSINE, BLOCKS, GRID, TILE = 0.95, 4, 2, 2048
+COSINE, BLOCKS, GRID, TILE = 0.95, 4, 1, 1024
 #: What rounding to single precision may add to a block's squared distance.
 SLACK = 1e-5
 
@@ -59,7 +59,7 @@ def place(classes: DataFrame, cosine: float) -> DataFrame:
 
     def run(batches):
         turns: dict[int, np.ndarray] = {}
-        for b in batches:
+        for b in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             lists = b.column(2)
             sizes = np.asarray(lists.value_lengths())
             flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)])
@@ -86,7 +86,8 @@ def place(classes: DataFrame, cosine: float) -> DataFrame:
                         out["visit"].append(np.full(len(reach), bool(step.any())))
                         out["row"].append(rows[reach])
                         out["raw"].extend(r.tobytes() for r in raw[reach])
-                        out["turned"].extend(r.tobytes() for r in turned[reach])
+                        # Of the rotated vector, what the blocks up to this one need.
+                        out["turned"].extend(r.tobytes() for r in turned[reach, : axes[-1] + 1])
             if not out["row"]:
                 continue
             row = np.concatenate(out["row"])
@@ -104,7 +105,7 @@ class Tile:
     def __init__(self, cid, n, raw, turned, dim: int, kind: type):
         self.cid, self.n = cid.values.to_numpy(), n.values.to_numpy()
         self.unit = units(np.frombuffer(b"".join(raw.as_py()), kind).reshape(-1, dim))
-        self.turned = np.frombuffer(b"".join(turned.as_py()), np.float32).reshape(-1, dim)
+        self.turned = np.frombuffer(b"".join(turned.as_py()), np.float32).reshape(len(self.cid), -1)
 
 
 def compare(a: Tile, b: Tile, same: bool, block: int, dim: int, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,7 +178,9 @@ def links(stage: Stage, classes: DataFrame, cosine: float = COSINE, tile: int =
                 left, right = (Tile(*(b.column(f"{s}_{c}")[0] for c in columns[1:]), dim, kind) for s in "ab")
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in compare(left, right, same, block, dim, cosine)], names=["a", "b", "n"])
 
-    return pairs.mapInArrow(run, "a long, b long, n long")
+    # A row holds two tiles, so batches are cut by size.
+    with setting(stage.spark, "spark.sql.execution.arrow.maxBytesPerBatch", "8m"):
+        return stage.write(pairs.mapInArrow(run, "a long, b long, n long"), "links")
 
 
 def dedup(vectors: DataFrame, cosine: float = COSINE, tile: int = TILE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -187,7 +190,7 @@ def dedup(vectors: DataFrame, cosine: float = COSINE, tile: int = TILE, id_col:
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.when(sound(v), v).alias("vector"))
     grouped = rows.where("vector is not null").groupBy("vector").agg(F.count("*").alias("n"), F.min("vec_id").alias("low"))
     classes = stage.write(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    found = stage.write(links(stage, classes, cosine, tile), "links")
+    found = links(stage, classes, cosine, tile)
     parts = components(stage, found.select("a", "b"))
     counts = found.groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("more"))
     rooted = classes.select("cid", "low", "n", "vector").join(parts.withColumnRenamed("node", "cid"), "cid", "left").join(counts, "cid", "left")
