@@ -32,7 +32,7 @@ from rankforge.llm.common import read
 
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct words whose encodings a worker keeps from batch to batch; beyond, it begins anew.
-MEMORY = 600_000
+MEMORY = 300_000
 
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + _SPACE + r"\p{L}\p{N}]+")

@@ -4,8 +4,8 @@ Each source gets a target number of words; target / source size is the number of
 is taken on average. The whole part is taken by all its documents. The fractional part is an inclusion
 probability, and the cube method decides who gets it: probabilities move through the null space of the balancing
 constraints (document count, word count), so that both totals stay what they were, until every probability but
-a few is 0 or 1. A source is cut into chunks of about CHUNK documents; at most two documents of each chunk are
-left undecided and meet in the next round, until one chunk holds all that is left of a source. There the landing
+a few is 0 or 1. A source is cut into chunks of about CHUNK documents; at most RESERVE + 2 documents of each chunk
+are left undecided and meet in the next round, until one chunk holds all that is left of a source. There the landing
 tries all samples of the last RESERVE + 2 documents and takes the one nearest to the target.
 
 Defined results: a null text has no words; a null source is a source of its own, ordered last; sources of size
@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import Stage, read
+from rankforge.llm.common import KEY, KEY2, ROW, Stage, identity, read
 
 WORD = r"[^\x20\x09-\x0D]+"
 CYCLE, SHARE, CAP, CHUNK, RESERVE = (3, 1, 2), 1.5, 2.0, 8192, 12
 EPS = 1e-9
+COPIES, ALIKE = "__rankforge_copies", "__rankforge_alike"
 
 
 def targets(stage: Stage, sizes: DataFrame, cycle=CYCLE, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -83,12 +84,12 @@ def _land(pi: list[float], size: list[int], at: list[int]) -> None:
 def cube(pi: list[float], size: list[int], seed: str, land: bool) -> list[float]:
     """The probabilities after the flight, in the order given; after the landing too, if land.
 
-    For the landing, RESERVE documents spread over the sizes stay out of the flight, so that it has small and large
-    ones to balance what the flight leaves.
+    RESERVE documents spread over the sizes stay out of the flight, so that the landing, when it comes, has small and
+    large ones to balance what flights leave.
     """
     rng, pi, open_ = random.Random(seed), list(pi), []
     unsure = [k for k in range(len(pi)) if 0 < pi[k] < 1]
-    kept = unsure[:: -(-len(unsure) // RESERVE) or 1][:RESERVE] if land and unsure else []
+    kept = unsure[:: -(-len(unsure) // RESERVE) or 1][:RESERVE] if unsure else []
     held = set(kept)
     for k in unsure:
         if k in held:
@@ -105,26 +106,29 @@ def cube(pi: list[float], size: list[int], seed: str, land: bool) -> list[float]
 
 
 def decide(docs: DataFrame, cycle=CYCLE, share: float = SHARE, cap: float = CAP, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, source, tie, size, source_size, target, copies) for each row of docs; tie is a hash of id and text."""
+    """(doc_id, source, key, key2, size, source_size, target, copies) for each row of docs; keys are hashes of id and text."""
+    if chunk < 4 * RESERVE:
+        raise ValueError(f"a chunk has {4 * RESERVE} documents at least, or rounds would not shrink")
     stage = Stage(docs.sparkSession)
+    key, key2 = identity("doc_id", "text")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = stage.write(docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("tie"), size.alias("size")), "sizes")
+    sizes = stage.write(docs.select("doc_id", "source", key.alias("key"), key2.alias("key2"), size.alias("size")), "sizes")
     shares = stage.write(targets(stage, sizes, cycle, share, cap).withColumnRenamed("source", "s"), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = sizes.join(shares, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rate", rate)
     whole = F.floor(F.col("rate") + EPS)
     rows = rows.withColumn("copies", whole).withColumn("pi", F.when(F.abs(F.col("rate") - whole) < EPS, 0.0).otherwise(F.col("rate") - whole))
-    columns = ["doc_id", "source", "tie", "size", "source_size", "target", "copies", "pi"]
+    columns = ["doc_id", "source", "key", "key2", "size", "source_size", "target", "copies", "pi"]
     left = rows.withColumn("n", F.col("n_docs")).select(*columns, "n")
     schema = left.drop("n").schema
     decided, level = None, 0
     while True:
         chunks = F.ceil(F.col("n") / chunk)
-        deal = F.pmod(F.xxhash64("tie", F.lit(level)), chunks)
+        deal = F.pmod(F.xxhash64("key", F.lit(level)), chunks)
         dealt = left.withColumn("n_chunks", chunks).withColumn("chunk", deal)
 
         def run(key, table):
-            table = table.sort_by([("size", "descending"), ("tie", "ascending"), ("doc_id", "ascending")])
+            table = table.sort_by([("size", "descending"), ("key", "ascending"), ("key2", "ascending")])
             land = table.column("n_chunks")[0].as_py() == 1
             seed = f"{key[0].as_py()}|{key[1].as_py()}|{level}"
             pi = cube(table.column("pi").to_pylist(), table.column("size").to_pylist(), seed, land)
@@ -140,18 +144,19 @@ def decide(docs: DataFrame, cycle=CYCLE, share: float = SHARE, cap: float = CAP,
             break
         left = rest.join(counts, F.col("source").eqNullSafe(F.col("s"))).select(*columns, "n")
         level += 1
-    return decided.select("doc_id", "source", "tie", "size", "source_size", "target", (F.col("copies") + F.col("pi").cast("long")).alias("copies"))
+    return decided.select("doc_id", "source", "key", "key2", "size", "source_size", "target", (F.col("copies") + F.col("pi").cast("long")).alias("copies"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix: each row of docs as many times as decide() takes it (0, 1 or 2 times at the usual cap)."""
-    taken = decide(docs, **how).select(F.col("doc_id").alias("__rankforge_id"), F.col("tie").alias("__rankforge_tie"), F.col("copies").alias("__rankforge_copies"))
-    # Rows that repeat are paired off by number; ties among them are alike.
-    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0)))
-    taken = taken.withColumn("__rankforge_n", nth("__rankforge_tie", "__rankforge_id"))
-    own = docs.withColumn("__rankforge_tie2", F.xxhash64("doc_id", "text")).withColumn("__rankforge_n2", nth("__rankforge_tie2", "doc_id"))
-    both = own.join(taken, (F.col("__rankforge_tie2") == F.col("__rankforge_tie")) & (F.col("__rankforge_n2") == F.col("__rankforge_n")) & F.col("doc_id").eqNullSafe(F.col("__rankforge_id")))
-    return both.where("__rankforge_copies > 0").withColumn("__rankforge_k", F.explode(F.sequence(F.lit(1), F.col("__rankforge_copies")))).select(*docs.columns)
+    taken = decide(docs, **how).groupBy("key", "key2").agg(F.sum("copies").alias(COPIES), F.count("*").alias(ALIKE))
+    key, key2 = identity("doc_id", "text")
+    own = docs.withColumns({KEY: key, KEY2: key2}).join(taken.withColumnsRenamed({"key": KEY, "key2": KEY2}), [KEY, KEY2])
+    # Rows that are alike share their copies evenly; the first of them take what is over.
+    nth = F.row_number().over(Window.partitionBy(KEY, KEY2).orderBy(KEY))
+    times = F.floor(F.col(COPIES) / F.col(ALIKE)) + (F.col(ROW) <= F.col(COPIES) % F.col(ALIKE)).cast("long")
+    out = own.withColumn(ROW, nth).withColumn(COPIES, times).where(F.col(COPIES) > 0)
+    return out.withColumn(ROW, F.explode(F.sequence(F.lit(1).cast("long"), F.col(COPIES)))).select(*docs.columns)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -74,11 +74,11 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"], s["end"])), ",")
 
 
-def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with spans: every secret's place (start, rank of its kind, end; code points, end exclusive) and value."""
+def find(docs: DataFrame, text_col: str = "text", out: str = "spans") -> DataFrame:
+    """docs with spans in the column out: every secret's place (start, rank of its kind, end; code points, end exclusive) and value."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     kinds = [_spans(text, rank, p, g, least) for rank, (_, p, g, least) in enumerate(KINDS)]
-    return docs.withColumn("spans", F.when(text.rlike(GATE), F.array_sort(F.concat(*kinds))).otherwise(F.array().cast(SPAN)))
+    return docs.withColumn(out, F.when(text.rlike(GATE), F.array_sort(F.concat(*kinds))).otherwise(F.array().cast(SPAN)))
 
 
 def ownership(hits: DataFrame) -> DataFrame:
@@ -110,9 +110,11 @@ def scan(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id") -
 def redact(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", mark: str = "<secret>") -> DataFrame:
     """docs with the owner-specific, live-looking secrets in their texts replaced by mark; copied examples stay."""
     stage = Stage(docs.sparkSession)
-    rows = stage.write(find(docs.withColumn(ROW, F.monotonically_increasing_id())).withColumnRenamed("spans", SPANS), "rows")
-    found = rows.select(ROW, F.col(SPANS).alias("spans"), *dict.fromkeys([owner_col, repo_col]))
-    judged = judge(stage, found, owner_col, repo_col).select(ROW, F.filter("judged", lambda s: s["live"]).alias(LIVE))
+    found = find(docs, out=SPANS)
+    # Documents without a span go on as they are; the others, a few, are kept with their spans.
+    rows = stage.write(found.where(F.size(SPANS) > 0).withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    judged = judge(stage, rows.select(ROW, F.col(SPANS).alias("spans"), *dict.fromkeys([owner_col, repo_col])), owner_col, repo_col)
+    judged = judged.select(ROW, F.filter("judged", lambda s: s["live"]).alias(LIVE))
     text = F.col("text")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -123,7 +125,8 @@ def redact(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id",
 
     rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
     clean = F.when(F.size(LIVE) > 0, F.aggregate(LIVE, begin, cut, rest)).otherwise(text)
-    return rows.join(judged, ROW, "left").withColumn("text", clean).select(*docs.columns)
+    cleaned = rows.join(judged, ROW, "left").withColumn("text", clean).select(*docs.columns)
+    return found.where(F.size(SPANS) == 0).select(*docs.columns).union(cleaned)
 
 
 def op4_secrets(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ pair of tiles that is left is compared with numpy exclusive-or and bit counts, a
 links, so thousands of mutually near copies cost one row each, not one for each pair.
 
 Defined results: a null or empty text has no shingle and fingerprint zero, and zero links like any other value;
-repeated rows fall into one class; an empty table gives an empty result; other columns are not read.
+repeated rows fall into one class; a null id is never a component's smallest unless all its ids are null; an empty
+table gives an empty result; extra columns are not read, and keep_one passes them on whatever their names.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import ROW, Stage, components, forest, read
+from rankforge.llm.common import KEY, KEY2, ROW, Stage, components, forest, identity, read
 
 SHINGLE, RADIUS, TILE, SEED = 3, 2, 4096, 42
 
@@ -152,12 +153,14 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
     Five words to a shingle; four bits of 64 are an angle whose cosine is 0.98, well beyond a similarity of 0.8.
     A row with a null doc_id stays only where its whole group has none; of equal ids one row stays.
     """
-    stage = Stage(docs.sparkSession)
-    rows = stage.write(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    ids = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(ROW).alias("row"))
-    found = classes_of(rows.select(ids.alias("id"), "text"), "id", shingle=shingle, radius=radius)
-    kept = found.where("id = component_id").select(F.col("id.row").alias(ROW))
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    key, key2 = identity("doc_id", "text")
+    ids = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", key.alias("key"), key2.alias("key2"))
+    found = classes_of(docs.select(ids.alias("id"), "text"), "id", shingle=shingle, radius=radius)
+    kept = found.where("id = component_id").select(F.col("id.key").alias(KEY), F.col("id.key2").alias(KEY2)).distinct()
+    # Texts are shuffled once; the number within rows that are alike needs no other order.
+    own = docs.withColumns({KEY: key, KEY2: key2}).join(kept, [KEY, KEY2], "left_semi")
+    nth = F.row_number().over(Window.partitionBy(KEY, KEY2).orderBy(KEY))
+    return own.withColumn(ROW, nth).where(F.col(ROW) == 1).select(*docs.columns)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
