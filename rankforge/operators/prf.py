@@ -88,7 +88,7 @@ def expand(original: str, learned: str | None, f: Feedback) -> str:
         return learned
     if f.orig_weight >= 1:
         return original
-    return f"#wsum ({f.orig_weight:g} #sum ({original}) {1 - f.orig_weight:g} {learned})"
+    return f"#wsum ({f.orig_weight} #sum ({original.strip()}) {1.0 - f.orig_weight} {learned})"
 
 
 def rewrite(index: Index, queries: dict[str, str], ranking: DataFrame, f: Feedback) -> tuple[dict[str, str], dict[str, str]]:

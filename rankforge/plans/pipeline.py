@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from rankforge.operators import models, prf
 from rankforge.operators.rank import rank
@@ -50,6 +51,9 @@ def read_ranking(index: Index, queries: dict[str, str], path: str) -> DataFrame:
     unknown = [r.qid for r in run.select("qid").distinct().collect() if r.qid not in queries]  # a run of a batch
     if unknown:
         raise KeyError(f"{path} has queries that are not in the batch: {', '.join(sorted(unknown))}")
+    # A document's rank is its place in the file, whatever the file says.
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("n"))
+    run = run.withColumn("rank", place)
     return run.join(index.docs.select("docid", "ext_id"), "ext_id", "left").select("qid", "docid", "ext_id", "score", "rank")
 
 

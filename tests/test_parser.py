@@ -44,6 +44,13 @@ def test_a_single_argument_replaces_its_operator():
     assert str(tree("#and(#or(#near/2(apple the)))")) == "#SCORE(apple.body )"
 
 
+def test_parentheses_without_an_operator_are_parts_of_words():
+    assert str(tree("(apple pie) x1")) == "#SUM(#SCORE(apple.body ) #SCORE(pie.body ) #SCORE(x1.body ) )"
+    t = tree("#wsum(0.5 (apple 0.3 pie) 0.2 foo(bar))")
+    assert t.weights == [0.5, 0.3, 0.2, 0.2]
+    assert str(tree("#and(a1 #or(b1 c1)d1)")) == "#AND(#SCORE(a1.body ) #OR(#SCORE(b1.body ) #SCORE(c1.body ) ) #SCORE(d1.body ) )"
+
+
 def test_stopwords_alone_leave_nothing():
     assert tree("the of") is None and prepare(None) is None
     assert tree("#near/1(of the)") is None
