@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labels under which the second set of measures is reported.
+# Labels under which the second set of measures is reported.
 LABELS = {
     "recip_rank": "MRR", "P_10": "P@10", "P_20": "P@20", "P_30": "P@30", "map_cut_1000": "MAP@1K", "ndcg_cut_10": "NDCG@10", "ndcg_cut_20": "NDCG@20",
     "ndcg_cut_30": "NDCG@30", "recall_100": "R@100", "recall_1000": "R@1000",

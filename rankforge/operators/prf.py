@@ -15,6 +15,10 @@ from rankforge.sources.corpus import FIELDS
 from rankforge.sources.index import Index
 
 
+# Fixed values of the okapi weight.
+TF_OFFSET, TF_LENGTH = 0.5, 1.5
+
+
 @dataclass(frozen=True)
 class Feedback:
     algorithm: str  # okapi or rm3
@@ -50,7 +54,7 @@ def term_scores(index: Index, ranking: DataFrame, f: Feedback) -> DataFrame:
         # Document frequencies only of the terms that the best documents hold.
         held = met.select("term").distinct()
         df = index.postings.where(in_field).select("term").join(held, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-        tf = F.col("tf") / (F.col("tf") + 0.5 + 1.5 * F.col("length") / F.lit(index.stats(f.field_in).average))
+        tf = F.col("tf") / (F.col("tf") + TF_OFFSET + TF_LENGTH * F.col("length") / F.lit(index.stats(f.field_in).average))
         rsj = F.log((F.lit(float(index.num_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         each = met.join(df, "term").withColumn("s", tf * rsj)
     else:

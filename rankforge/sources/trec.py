@@ -10,6 +10,7 @@ import gzip
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# Fixed values of the run format.
 RUN_ID = "reference"
 NO_DOCUMENT = "Nonexistent_Docid"
 
