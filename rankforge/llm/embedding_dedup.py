@@ -113,13 +113,15 @@ def compare(a: Tile, b: Tile, same: bool, block: int, dim: int, cosine: float) -
     parts = blocks_of(dim)
     budget = [(2 - 2 * cosine) * len(p) / dim + SLACK for p in parts]
     x, y = a.turned[:, parts[block]], b.turned[:, parts[block]]
-    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    # With the squares among the columns a squared distance is one product: (-2x, xx, 1) times (y, 1, yy).
+    one = lambda v: np.ones((len(v), 1), np.float32)
+    square = lambda v: (v * v).sum(1, keepdims=True)
+    x, y = np.hstack([-2 * x, square(x), one(x)]), np.hstack([y, one(y), square(y)]).T.copy()
     size = len(a.cid) + (0 if same else len(b.cid))
     links, left, right = np.zeros(size, np.int64), [], []
     for at in range(0, len(x), 256):
         # Single precision finds the candidates; a little more room keeps all of them.
-        near = xx[at : at + 256, None] + yy[None, :] - 2 * (x[at : at + 256] @ y.T) <= budget[block] + SLACK
-        i, j = np.nonzero(near)
+        i, j = np.divmod(np.flatnonzero(x[at : at + 256] @ y <= budget[block] + SLACK), y.shape[1])
         i += at
         if same:
             i, j = i[i < j], j[i < j]
