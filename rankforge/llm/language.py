@@ -28,6 +28,8 @@ from rankforge.llm.common import read
 BUCKETS, SMOOTH, ROUNDS, PRICE, MAX_SET, MAX_LANGUAGES = 1 << 14, 0.5, 12, 3.0, 4, 500
 UNKNOWN = "und"
 FOLDS = 5
+#: What the likelihood of all languages may still gain beyond ROUNDS.
+SLACK = 1.0
 
 # Letters by code point, built once in each worker.
 _LETTER: list[np.ndarray] = []
@@ -91,19 +93,31 @@ class Model:
         n = np.add.reduceat(c, starts)
         p = self.p[at]
         single = np.add.reduceat(self.log_p[at] * c[:, None], starts, axis=0)
-        theta = self._fit(np.full((len(rows), len(self.names)), 1 / len(self.names)), p, c, n, doc, starts)[0]
-        order = np.argsort(-theta, axis=1, kind="stable")
+        theta, most = self._fit(np.full((len(rows), len(self.names)), 1 / len(self.names)), p, c, n, doc, starts)
         best = np.argmax(single, axis=1)
         chosen = np.zeros_like(theta)
         chosen[np.arange(len(rows)), best] = 1.0
         value = single[np.arange(len(rows)), best]
-        for size in range(2, min(MAX_SET, len(self.names)) + 1):
-            first = np.zeros_like(theta)
-            np.put_along_axis(first, order[:, :size], np.take_along_axis(theta, order[:, :size], 1) + 1e-9, 1)
-            fit, likelihood = self._fit(first / first.sum(1, keepdims=True), p, c, n, doc, starts)
-            penalised = likelihood - (size - 1) * (0.5 * np.log(n) + PRICE)
-            better = penalised > value
-            value, chosen = np.where(better, penalised, value), np.where(better[:, None], fit, chosen)
+        # No set beats the likelihood of all languages together: where that is too little for a second one, one stays.
+        price = 0.5 * np.log(n) + PRICE
+        open_ = np.flatnonzero(most + SLACK - price > value)
+        if len(open_):
+            own = np.isin(doc, open_)
+            p, c, n, price, theta = p[own], c[own], n[open_], price[open_], theta[open_]
+            sizes = np.array([len(rows[k]) for k in open_])
+            starts, doc = np.cumsum([0, *sizes[:-1]]), np.repeat(np.arange(len(open_)), sizes)
+            order = np.argsort(-theta, axis=1, kind="stable")
+            for size in range(2, min(MAX_SET, len(self.names)) + 1):
+                if size == len(self.names):
+                    fit, likelihood = theta, most[open_]
+                else:
+                    first = np.zeros_like(theta)
+                    np.put_along_axis(first, order[:, :size], np.take_along_axis(theta, order[:, :size], 1) + 1e-9, 1)
+                    fit, likelihood = self._fit(first / first.sum(1, keepdims=True), p, c, n, doc, starts)
+                penalised = likelihood - (size - 1) * price
+                better = penalised > value[open_]
+                at = open_[better]
+                value[at], chosen[at] = penalised[better], fit[better]
         top = np.argmax(chosen, axis=1)
         for k, t, shares in zip(owners, top, chosen):
             out[k] = (self.names[t], float(min(1.0, shares[t])), {self.names[i]: float(shares[i]) for i in np.flatnonzero(shares > 1e-6)})
@@ -154,8 +168,11 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     return Model(names, table)
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", batch: int = 128) -> DataFrame:
-    """Columns keep of docs, with lang_pred, score and shares (language to proportion), one row for each row."""
+def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", batch: int = 128, least: float | None = None) -> DataFrame:
+    """Columns keep of docs, with lang_pred, score and shares (language to proportion), one row for each row.
+
+    least: columns keep alone, of the rows whose language is known and holds at least that share.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES x BUCKETS
     source = docs.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keep)), F.col(text_col).alias("text"))
     kinds = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(source.schema.fields[:-1]))
@@ -170,7 +187,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
                 yield pa.RecordBatch.from_arrays(b.columns[:-1] + new, names=[*b.schema.names[:-1], "lang_pred", "score", "shares"])
 
     out = source.mapInArrow(run, f"{kinds}, lang_pred string, score double, shares map<string,double>")
-    return out.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), "lang_pred", "score", "shares")
+    kept = [F.col(f"k{i}").alias(k) for i, k in enumerate(keep)]
+    if least is not None:
+        return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*kept)
+    return out.select(*kept, "lang_pred", "score", "shares")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -179,11 +199,10 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, model, ["doc_id"]).withColumn("held_out", held_out())
 
 
-def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_known(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """docs whose leading language is known and holds at least a share of least of the text."""
     model = learn(docs.where(~held_out()))
-    judged = predict(docs, model, docs.columns)
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    return predict(docs, model, docs.columns, least=least)
 
 
 def op5_language(spark, sf_dir: str) -> DataFrame:
