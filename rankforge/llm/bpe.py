@@ -32,7 +32,7 @@ from rankforge.llm.common import read
 
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct words whose encodings a worker keeps from batch to batch; beyond, it begins anew.
-MEMORY = 300_000
+MEMORY = 450_000
 
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + _SPACE + r"\p{L}\p{N}]+")
@@ -74,7 +74,8 @@ class Encoder:
         self.rank: dict[tuple[int, int], int] = {}
         self.made: dict[int, tuple[int, int, int]] = {}
         sound = {i for t, i in v.ids.items() if len(t.removesuffix(v.end)) == 1}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}  # by the pair of ids as one number
+        self._width = max(v.ids.values()) + 1
         for rank, (x, y) in enumerate(v.merges):
             a, b, t = v.ids[x], v.ids[y], v.ids[x + y]
             self.rank.setdefault((a, b), rank)
@@ -156,16 +157,15 @@ class Encoder:
                 limit, b = y[0] + 1, y[1]
 
     def fits(self, a: int, b: int) -> bool:
-        got = self._fits.get((a, b))
-        if got is None:
-            if len(self._fits) > 1_000_000:
-                self._fits.clear()
-            got = self._fits[a, b] = self._apart(a, b, 1 << 60)
+        """Whether token b can follow token a within a word; the answer is kept."""
+        if len(self._fits) > 1_000_000:
+            self._fits.clear()
+        got = self._fits[a * self._width + b] = self._apart(a, b, 1 << 60)
         return got
 
     def learn(self, words: set[str]) -> None:
         """Encode distinct words: a depth-first walk through the trie of their byte symbols."""
-        fits, final, longest, tails, jump = self.fits, self.final, self.longest, self.tails, self.jump
+        final, longest, tails, jump, kept, width = self.final, self.longest, self.tails, self.jump, self._fits.get, self._width
         spelt = sorted((self._spell(w), w) for w in words)
         # Of the path from the root, by depth: the last token and its length, and the automaton's state.
         before, last, ends, state = "", [-1], [0], [0]
@@ -182,8 +182,13 @@ class Encoder:
                     nxt = jump[at][c] = self._next(at, c)
                 at = nxt
                 for t, length in tails[at]:
-                    if length == n or last[n - length] >= 0 and fits(last[n - length], t):
+                    if length == n:
                         break
+                    a = last[n - length]
+                    if a >= 0:
+                        ok = kept(a * width + t)
+                        if self.fits(a, t) if ok is None else ok:
+                            break
                 else:
                     t, length = -1, 1
                 last.append(t)
@@ -192,9 +197,12 @@ class Encoder:
             ids = []
             for at in range(max(0, len(word) - longest), len(word)):
                 t = final.get(word[at:])
-                if t is not None and (at == 0 or last[at] >= 0 and fits(last[at], t)):
-                    ids.append(t)
-                    break
+                if t is not None:
+                    if at:
+                        ok = kept(last[at] * width + t) if last[at] >= 0 else False
+                    if at == 0 or (self.fits(last[at], t) if ok is None else ok):
+                        ids.append(t)
+                        break
             while at > 0:
                 ids.append(last[at])
                 at -= ends[at]
