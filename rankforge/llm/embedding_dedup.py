@@ -101,11 +101,18 @@ def place(classes: DataFrame, cosine: float) -> DataFrame:
     return source.mapInArrow(run, "dim int, block int, cell string, visit boolean, cid long, n long, raw binary, turned binary")
 
 
+def _bytes(values: pa.BinaryArray) -> np.ndarray:
+    """The bytes of all values, one after another, as they lie in the batch."""
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int32)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+
+
 class Tile:
     def __init__(self, cid, n, raw, turned, dim: int, kind: type):
         self.cid, self.n = cid.values.to_numpy(), n.values.to_numpy()
-        self.unit = units(np.frombuffer(b"".join(raw.as_py()), kind).reshape(-1, dim))
-        self.turned = np.frombuffer(b"".join(turned.as_py()), np.float32).reshape(len(self.cid), -1)
+        self.unit = units(_bytes(raw.values).view(kind).reshape(-1, dim))
+        self.turned = _bytes(turned.values).view(np.float32).reshape(len(self.cid), -1)
 
 
 def compare(a: Tile, b: Tile, same: bool, block: int, dim: int, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
