@@ -14,6 +14,7 @@ table gives an empty result; extra columns are not read, and keep_one passes the
 
 from __future__ import annotations
 
+from fractions import Fraction
 from itertools import product
 
 import numpy as np
@@ -22,22 +23,28 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankforge.llm import jaccard
 from rankforge.llm.common import KEY, KEY2, ROW, Stage, components, forest, identity, read
 
 SHINGLE, RADIUS, TILE, SEED = 3, 2, 4096, 42
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of a whole text; A-Z are lower-cased, words end at ASCII white space."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of a whole text's word shingles; A-Z are lower-cased, words end at ASCII white space."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     if len(words) <= shingle:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(g, SEED) for g in grams), np.uint64)
+    return np.fromiter((digest(g, SEED) for g in grams), np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of a whole text; without words it is zero."""
+    hashes = shingle_hashes(text, shingle)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):  # bounds the unpacked bits of a very long text
         block = hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -147,15 +154,16 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fps.join(by_fp, "fp").select("id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
     """docs with one document of each group of near copies: the one with the smallest doc_id.
 
-    Five words to a shingle; four bits of 64 are an angle whose cosine is 0.98, well beyond a similarity of 0.8.
+    Near copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and chains of such
+    texts. Fingerprints would lose most of them below 0.95, so all pairs are found by their sets (see jaccard).
     A row with a null doc_id stays only where its whole group has none; of equal ids one row stays.
     """
     key, key2 = identity("doc_id", "text")
     ids = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", key.alias("key"), key2.alias("key2"))
-    found = classes_of(docs.select(ids.alias("id"), "text"), "id", shingle=shingle, radius=radius)
+    found = jaccard.classes_of(docs.select(ids.alias("id"), "text"), shingle, similarity)
     kept = found.where("id = component_id").select(F.col("id.key").alias(KEY), F.col("id.key2").alias(KEY2)).distinct()
     # Texts are shuffled once; the number within rows that are alike needs no other order.
     own = docs.withColumns({KEY: key, KEY2: key2}).join(kept, [KEY, KEY2], "left_semi")

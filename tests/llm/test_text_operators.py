@@ -262,3 +262,30 @@ def test_one_of_each_group_of_copies_stays(spark):
     assert kept.columns == t.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 7]
     assert simhash.keep_one(docs(spark, [])).count() == 0
     assert simhash.keep_one(docs(spark, ODD)).count() == 3
+
+
+def shingle_similarity(a, b):
+    x, y = (set(zip(*(t.split()[k:] for k in range(5)))) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_from_a_similarity_of_0_8_go_and_others_stay(spark):
+    rng = random.Random(12)
+    rows, gone, likes = [], set(), []
+    for k in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        copy = list(words)
+        for at in rng.sample(range(300), k % 12 + 1):
+            copy[at] = "changed"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+        likes.append(shingle_similarity(rows[-2][1], rows[-1][1]))
+        if likes[-1] >= 0.8:
+            gone.add(2 * k + 1)
+    # A chain: the ends are not alike, but both are like the one between; its id is the largest.
+    words = [f"c{k}" for k in range(300)]
+    ends = [words[:280], words[20:]]
+    rows += [(500, " ".join(ends[0])), (501, " ".join(ends[1])), (502, " ".join(words))]
+    gone |= {501, 502}
+    assert min(likes) < 0.75 and sum(0.8 <= x < 0.95 for x in likes) > 20
+    kept = {r.doc_id for r in simhash.keep_one(docs(spark, rows).repartition(3)).collect()}
+    assert kept == {k for k, _ in rows} - gone
