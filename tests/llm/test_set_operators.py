@@ -343,6 +343,17 @@ def test_planted_passages_are_found_and_nothing_else(spark):
     assert len(found) <= 2 * len(rows)
 
 
+def test_a_passage_that_stands_twice_in_the_first_document(spark):
+    rng = random.Random(13)
+    words = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    passage = words(60)
+    rows = [(0, " ".join(words(20) + passage + words(30) + passage + words(20))), (1, " ".join(words(25) + passage + words(5)))]
+    found = passages.passages(docs(spark, rows).coalesce(1)).collect()
+    spans = {(r.start, r.end) if r.doc_id == 0 else (r.other_start, r.other_end) for r in found}
+    for a, b in ((20, 80), (110, 170)):
+        assert any(s <= a + 3 and b - 3 <= e <= b + 6 for s, e in spans), spans
+
+
 def test_chains_against_brute_force():
     from itertools import combinations
 
