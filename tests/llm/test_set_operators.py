@@ -354,6 +354,21 @@ def test_a_passage_that_stands_twice_in_the_first_document(spark):
         assert any(s <= a + 3 and b - 3 <= e <= b + 6 for s, e in spans), spans
 
 
+def test_adjacent_frequent_lines_are_one_passage(spark):
+    rng = random.Random(14)
+    words = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    early, middle, late, want = [], [], [], []
+    for k in range(8):
+        x, y = words(30), words(30)
+        early += [words(30) + x + words(20), words(30) + y + words(20)]
+        late += [words(30) + x + words(20), words(30) + y + words(20)]
+        want.append((len(middle), len(middle) + 1))
+        middle += [words(40) + x + y + words(40), words(25) + x + y + words(30)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(early + middle + late)]
+    found = {tuple(sorted((r.doc_id, r.other_id))) for r in passages.passages(docs(spark, rows).coalesce(1)).collect()}
+    assert {(len(early) + a, len(early) + b) for a, b in want} <= found
+
+
 def test_chains_against_brute_force():
     from itertools import combinations
 
