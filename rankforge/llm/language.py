@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from rankforge.llm.common import read
 
-BUCKETS, SMOOTH, ROUNDS, PRICE, MAX_SET, MAX_LANGUAGES = 1 << 14, 0.5, 12, 3.0, 4, 500
+BUCKETS, SMOOTH, ROUNDS, PRICE, MAX_LANGUAGES = 1 << 14, 0.5, 12, 3.0, 500
 UNKNOWN = "und"
 FOLDS = 5
 #: What the likelihood of all languages may still gain beyond ROUNDS.
@@ -107,7 +107,10 @@ class Model:
             sizes = np.array([len(rows[k]) for k in open_])
             starts, doc = np.cumsum([0, *sizes[:-1]]), np.repeat(np.arange(len(open_)), sizes)
             order = np.argsort(-theta, axis=1, kind="stable")
-            for size in range(2, min(MAX_SET, len(self.names)) + 1):
+            for size in range(2, len(self.names) + 1):
+                # Nor does a set of this size or a larger one, where the same bound is too little for any text.
+                if not (most[open_] + SLACK - (size - 1) * price > value[open_]).any():
+                    break
                 if size == len(self.names):
                     fit, likelihood = theta, most[open_]
                 else:

@@ -188,6 +188,15 @@ def test_languages_and_mixtures(spark):
     assert set(got[0].shares) == {got[0].lang_pred}
 
 
+def test_a_text_in_six_languages_has_all_of_them(spark):
+    rng = random.Random(15)
+    tongues = {"aa": "aei", "bb": "xyz", "cc": "деж", "dd": "mnop", "ee": "rstu", "ff": "bcdf"}
+    rows = [(k, speech(rng, tongues[t], 60), t, "s0") for k, t in enumerate(list(tongues) * 20)]
+    rows.append((1000, " ".join(speech(rng, x, 60) for x in tongues.values()), None, "s"))
+    got = {r.doc_id: r for r in language.identify(docs(spark, rows)).collect()}
+    assert {k for k, v in got[1000].shares.items() if v > 0.05} == set(tongues)
+
+
 def test_nothing_to_learn_from(spark):
     rows = [(k, "some text", None, "s") for k in range(5)]
     assert {(r.lang_pred, r.score) for r in language.identify(docs(spark, rows)).collect()} == {("und", 0.0)}
