@@ -1,25 +1,25 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph for each shard, results merged.
 
-Distinct vectors are dealt into shards of about SHARD by hash. A shard's graph is stored as flat neighbour arrays, one
-for each layer. A node's layer is drawn as usual (geometric, from the shard's own seed). A shard fits in one task, so
-its candidate lists are exact: the BREADTH nearest of a node's layer by blocks of matrix products, from which
-the usual diversity rule picks neighbours, with links back and pruning to the degree. A part of a layer that the
-entry cannot reach is joined to its nearest reached node. Queries go to every shard in blocks, walk greedily down
-the layers and run a beam search on the lowest one; the best of all shards are ranked by exact distances in double
-precision, ties by id.
+Distinct vectors are dealt into shards of about SHARD by hash; each shard's graph is built in a task of its own. Nodes
+are inserted in blocks that double up to BLOCK: each layer of a node (geometric, drawn from the shard's own seed) is
+searched from the top down in the graph built so far, a beam of BREADTH gives the candidates (the block's own nodes
+beside them), the diversity rule picks neighbours, which link back and are pruned to the degree by the same rule. A
+graph is stored as flat neighbour arrays, one for each layer. All searches run side by side for a block of vectors.
+
+Queries go to every shard in blocks, walk greedily down the layers and run a beam search on the lowest one; the best
+of all shards are ranked by exact distances in double precision on the original vectors, ties by id.
 
 Equal vectors are one node with its smallest ids, so thousands of copies neither fill a neighbour list nor cut a
-graph apart; K + 1 ids are enough for K answers beside the query itself.
+graph apart; K + 1 distinct ids are enough for K answers beside the query itself.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows with a null id, take no
-part; vectors of another length are no candidates; rows that repeat an id and a vector count once; with fewer
-candidates than K all are returned; an empty table gives an empty result; extra columns are not read.
+part; vectors of another length are no candidates; rows that repeat an id and a vector count once; an id with
+several vectors is one candidate and one query, as near as its nearest vector; with fewer candidates than K all
+are returned; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -28,141 +28,213 @@ from pyspark.sql import functions as F
 from rankforge.llm.common import Stage, read
 from rankforge.llm.embedding_dedup import sound
 
-K, SHARD, DEGREE, BREADTH, BEAM, QUERY_BLOCK = 10, 4096, 16, 64, 96, 2048
+K, SHARD, DEGREE, BREADTH, BEAM, BLOCK, QUERY_BLOCK = 10, 8192, 16, 64, 128, 256, 2048
+
+
+def diverse(between: np.ndarray, d: np.ndarray, degree: int) -> np.ndarray:
+    """The usual rule for many nodes at once, as a mask of the candidates picked.
+
+    d: distances of candidates to their node by row, nearest first, infinite for none; between: among candidates. A
+    candidate nearer to a picked one than to the node waits; the first of those that wait fill up what is left.
+    """
+    rows, width = d.shape
+    closest, picked, count = np.full((rows, width), np.inf), np.zeros((rows, width), bool), np.zeros(rows, int)
+    for k in range(width):
+        ok = (closest[:, k] > d[:, k]) & (count < degree)
+        picked[ok, k] = True
+        count += ok
+        closest[ok] = np.minimum(closest[ok], between[ok, k])
+    waiting = ~picked & np.isfinite(d)
+    return picked | waiting & (np.cumsum(waiting, axis=1) <= (degree - count)[:, None])
 
 
 class Graph:
-    """Layers of flat neighbour arrays (nodes x degree, -1 for none); layer 0 holds all nodes."""
+    """Layers of flat neighbour arrays (nodes x degree, -1 for none); layer 0 holds all nodes, a higher one some."""
 
     def __init__(self, x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]] | None = None):
-        self.x = x.astype(np.float32)
+        # About their mean, single precision tells near vectors apart.
+        self.mean = x.astype(np.float64).mean(0) if len(x) else np.zeros(x.shape[1])
+        self.x = self._moved(x)
         self.norm = (self.x * self.x).sum(1)
-        self.layers = layers if layers is not None else self._build()
-
-    def _build(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        n = len(self.x)
-        rng = np.random.default_rng(n)
-        top = np.floor(-np.log(1 - rng.random(n)) / np.log(DEGREE)).astype(int)
-        layers = []
-        for level in range(int(top.max()) + 1 if n else 0):
-            nodes = np.flatnonzero(top >= level)
-            layers.append((nodes.astype(np.int32), self._layer(nodes, 2 * DEGREE if level == 0 else DEGREE)))
-        return layers
-
-    def _near(self, at: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        """Squared distances from nodes at to nodes."""
-        return np.maximum(self.norm[at, None] + self.norm[nodes] - 2 * (self.x[at] @ self.x[nodes].T), 0)
-
-    def _layer(self, nodes: np.ndarray, degree: int) -> np.ndarray:
-        """Neighbours, as positions in nodes, of each of nodes."""
-        n, breadth = len(nodes), min(BREADTH, len(nodes) - 1)
-        chosen: list[list[tuple[float, int]]] = []
-        for lo in range(0, n, 512):
-            d = self._near(nodes[lo : lo + 512], nodes)
-            d[np.arange(len(d)), np.arange(lo, lo + len(d))] = np.inf
-            part = np.argpartition(d, breadth - 1, axis=1)[:, :breadth] if breadth else np.empty((len(d), 0), int)
-            for row, own in zip(d, part):
-                own = own[np.lexsort((own, row[own]))]
-                chosen.append(self._diverse(nodes, own, row[own], degree // 2 if degree < n else degree))
-        both: list[dict[int, float]] = [{j: d for d, j in c} for c in chosen]
-        for i, c in enumerate(chosen):
-            for d, j in c:
-                both[j][i] = d
-        out = np.full((n, degree), -1, np.int32)
-        for i, found in enumerate(both):
-            ranked = sorted((d, j) for j, d in found.items())
-            if len(ranked) > degree:
-                own = np.array([j for _, j in ranked])
-                ranked = self._diverse(nodes, own, np.array([d for d, _ in ranked]), degree)
-            out[i, : len(ranked)] = [j for _, j in ranked]
-        return self._joined(nodes, out)
-
-    def _diverse(self, nodes: np.ndarray, own: np.ndarray, d: np.ndarray, degree: int) -> list[tuple[float, int]]:
-        """The usual rule: nearest first, a candidate nearer to a chosen one than to the node waits; the rest fills up."""
-        between = self._near(nodes[own], nodes[own])
-        closest = np.full(len(own), np.inf)
-        picked, waiting = [], []
-        for k in range(len(own)):
-            if len(picked) == degree:
-                break
-            if closest[k] > d[k]:
-                picked.append(k)
-                np.minimum(closest, between[k], out=closest)
-            else:
-                waiting.append(k)
-        picked += waiting[: degree - len(picked)]
-        return [(float(d[k]), int(own[k])) for k in picked]
-
-    def _joined(self, nodes: np.ndarray, out: np.ndarray) -> np.ndarray:
-        """out with every node within reach of the first: each part beyond gets a link from its nearest reached node."""
-        seen = np.zeros(len(nodes), bool)
-        front = np.array([0])
+        self.n = len(x)
+        if layers is not None:
+            self.links = [self._spread(nodes, links) for nodes, links in layers]
+            self.entry = int(layers[-1][0][0]) if layers else -1
+        else:
+            self._build()
+
+    def _moved(self, x: np.ndarray) -> np.ndarray:
+        moved = x.astype(np.float64) - self.mean
+        return moved.astype(np.float32) if np.abs(moved).max(initial=0) < 1e15 else moved
+
+    def _spread(self, nodes: np.ndarray, links: np.ndarray) -> np.ndarray:
+        out = np.full((self.n, links.shape[1]), -1, np.int32)
+        out[nodes] = links
+        return out
+
+    def layers(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(nodes, their neighbours as nodes) of each layer from the lowest on; the highest begins with the entry."""
+        out = []
+        for level, links in enumerate(self.links):
+            nodes = np.flatnonzero(self.top >= level)
+            if level == len(self.links) - 1:
+                nodes = np.concatenate([[self.entry], nodes[nodes != self.entry]])
+            out.append((nodes.astype(np.int32), links[nodes]))
+        return out
+
+    def _build(self) -> None:
+        rng = np.random.default_rng(self.n)
+        self.top = np.floor(-np.log(1 - rng.random(self.n)) / np.log(DEGREE)).astype(int)
+        self.links = [np.full((self.n, 2 * DEGREE if level == 0 else DEGREE), -1, np.int32) for level in range(int(self.top.max(initial=-1)) + 1)]
+        self.entry, at = (0 if self.n else -1), 1
+        while at < self.n:
+            block = np.arange(at, min(self.n, at + min(at, BLOCK)))
+            self._insert(block)
+            high = block[np.argmax(self.top[block])]
+            if self.top[high] > self.top[self.entry]:
+                self.entry = int(high)
+            at = block[-1] + 1
+        for level in range(len(self.links)):
+            self._join(level)
+
+    def _insert(self, block: np.ndarray) -> None:
+        """Adds nodes to every layer of theirs; they find candidates in the graph as it is, and in their own block."""
+        x, top = self.x[block], self.top[block]
+        at = np.full(len(block), self.entry)
+        for level in range(len(self.links) - 1, -1, -1):
+            own = np.flatnonzero(top >= level)
+            empty = level > self.top[self.entry]
+            found, far = np.full((len(own), 0), -1), np.full((len(own), 0), np.inf)
+            if not empty:
+                passing = np.flatnonzero(top < level)
+                if len(passing):
+                    at[passing] = self.beam(level, x[passing], at[passing], 1)[0][:, 0]
+                if len(own):
+                    found, far = self.beam(level, x[own], at[own], BREADTH)
+                    at[own] = found[:, 0]
+            if not len(own):
+                continue
+            # The block's own nodes of this layer are candidates, too.
+            mates = np.broadcast_to(block[own], (len(own), len(own)))
+            near = self._between(x[own], x[own])
+            near[np.arange(len(own)), np.arange(len(own))] = np.inf
+            found, far = np.concatenate([found, mates], 1), np.concatenate([far, near], 1)
+            order = np.lexsort((found, far))[:, :BREADTH]
+            self._connect(level, block[own], np.take_along_axis(found, order, 1), np.take_along_axis(far, order, 1))
+
+    def _between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T), 0).astype(np.float64)
+
+    def _pick(self, found: np.ndarray, far: np.ndarray, degree: int) -> np.ndarray:
+        """Neighbours by the diversity rule among candidates (nearest first): nodes x degree, -1 for none."""
+        out = np.full((len(found), degree), -1, np.int32)
+        step = max(1, 4_000_000 // found.shape[1] ** 2)  # bounds what stands between candidates
+        for lo in range(0, len(found), step):
+            f, d = found[lo : lo + step], far[lo : lo + step]
+            own = self.x[f]
+            between = self.norm[f][:, :, None] + self.norm[f][:, None, :] - 2 * (own @ own.transpose(0, 2, 1))
+            ok = diverse(between, d, degree)
+            place = np.cumsum(ok, axis=1) - 1
+            r, k = np.nonzero(ok)
+            out[lo + r, place[r, k]] = f[r, k]
+        return out
+
+    def _connect(self, level: int, nodes: np.ndarray, found: np.ndarray, far: np.ndarray) -> None:
+        """Sets the neighbours of new nodes, and links them back."""
+        links, degree = self.links[level], self.links[level].shape[1]
+        picked = self._pick(found, far, DEGREE)
+        links[nodes, : picked.shape[1]] = picked
+        k, j = np.nonzero(picked >= 0)
+        to, back = picked[k, j], nodes[k]
+        fresh = ~(links[to] == back[:, None]).any(1)  # two nodes of the block may have picked each other
+        order = np.argsort(to[fresh], kind="stable")
+        to, back = to[fresh][order], back[fresh][order]
+        if not len(to):
+            return
+        some, first, n = np.unique(to, return_index=True, return_counts=True)
+        # All neighbours of a node, old and new, side by side; those that are too many are picked anew.
+        wide = np.full((len(some), degree + int(n.max())), -1, np.int32)
+        wide[:, :degree] = links[some]
+        wide[np.repeat(np.arange(len(some)), n), degree + np.arange(len(to)) - np.repeat(first, n)] = back
+        d = self.norm[wide] + self.norm[some][:, None] - 2 * np.einsum("rd,rkd->rk", self.x[some], self.x[wide])
+        d = np.where(wide < 0, np.inf, np.maximum(d, 0).astype(np.float64))
+        order = np.lexsort((wide, d))
+        wide, d = np.take_along_axis(wide, order, 1), np.take_along_axis(d, order, 1)
+        over = np.isfinite(d).sum(1) > degree
+        links[some[~over]] = wide[~over, :degree]
+        if over.any():
+            links[some[over]] = self._pick(wide[over], d[over], degree)
+
+    def _join(self, level: int) -> None:
+        """Every node of a layer within reach of the entry: each part beyond gets a link from its nearest reached node."""
+        links, nodes = self.links[level], np.flatnonzero(self.top >= level)
+        seen, front = np.zeros(self.n, bool), np.array([self.entry])
         while True:
             while len(front):
                 seen[front] = True
-                front = np.unique(out[front])
+                front = np.unique(links[front])
                 front = front[(front >= 0) & ~seen[np.maximum(front, 0)]]
-            if seen.all():
-                return out
-            lost, reached = np.flatnonzero(~seen)[:512], np.flatnonzero(seen)
-            d = self._near(nodes[lost], nodes[reached])
+            lost, reached = nodes[~seen[nodes]][:512], nodes[seen[nodes]]
+            if not len(lost):
+                return
+            d = self._between(self.x[lost], self.x[reached])
             k, j = np.unravel_index(np.argmin(d), d.shape)
-            room = np.flatnonzero(out[reached[j]] < 0)
+            room = np.flatnonzero(links[reached[j]] < 0)
             if not len(room):
-                out = np.concatenate([out, np.full((len(out), 1), -1, np.int32)], axis=1)
-                room = [out.shape[1] - 1]
-            out[reached[j], room[0]] = lost[k]
+                links = self.links[level] = np.concatenate([links, np.full((self.n, 1), -1, np.int32)], axis=1)
+                room = [links.shape[1] - 1]
+            links[reached[j], room[0]] = lost[k]
             front = lost[k : k + 1]
 
-    def search(self, q: np.ndarray, beam: int = BEAM) -> list[int]:
-        """Nodes near q, about the beam nearest ones, in no order."""
-        if not self.layers:
-            return []
-        q = q.astype(np.float32)
-        qq = float(q @ q)
-        dist = lambda at: np.maximum(self.norm[at] + qq - 2 * (self.x[at] @ q), 0)
-        nodes = self.layers[-1][0]
-        at = int(nodes[np.argmin(dist(nodes))])  # the highest layer has a few nodes
-        for nodes, out in self.layers[-1:0:-1]:
-            best = float(dist(np.array([at]))[0])
-            while True:
-                near = out[np.searchsorted(nodes, at)]
-                near = nodes[near[near >= 0]]
-                if not len(near):
-                    break
-                d = dist(near)
-                k = int(np.argmin(d))
-                if d[k] >= best:
-                    break
-                at, best = int(near[k]), float(d[k])
-        out = self.layers[0][1]
-        seen = np.zeros(len(self.x), bool)
-        seen[at] = True
-        d = float(dist(np.array([at]))[0])
-        todo, held = [(d, at)], [(-d, at)]
-        while todo:
-            d, at = heapq.heappop(todo)
-            if len(held) == beam and d > -held[0][0]:
+    def beam(self, level: int, q: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Beam searches on one layer, side by side: the nodes found near each of q, nearest first (-1 for none), and squared distances.
+
+        q is about the mean already. Each step opens every search's nearest node not opened yet, until a search has
+        opened all its beam holds.
+        """
+        links, rows = self.links[level], np.arange(len(q))
+        qq = (q * q).sum(1)
+        seen = np.zeros((len(q), self.n + 1), bool)
+        seen[:, -1] = True  # where no neighbour stands
+        seen[rows, start] = True
+        found, far, done = np.full((len(q), width), -1), np.full((len(q), width), np.inf), np.ones((len(q), width), bool)
+        found[:, 0], done[:, 0] = start, False
+        far[:, 0] = np.maximum(self.norm[start] + qq - 2 * (self.x[start] * q).sum(1), 0)
+        live = rows
+        while True:
+            k = np.argmin(np.where(done[live], np.inf, far[live]), axis=1)
+            going = ~done[live, k]
+            live, k = live[going], k[going]
+            if not len(live):
                 break
-            near = out[at]
-            near = near[near >= 0]
-            near = near[~seen[near]]
-            seen[near] = True
-            if not len(near):
-                continue
-            new = dist(near)
-            if len(held) == beam:
-                ok = new < -held[0][0]
-                near, new = near[ok], new[ok]
-            for x, j in zip(new.tolist(), near.tolist()):
-                if len(held) < beam:
-                    heapq.heappush(held, (-x, j))
-                elif x < -held[0][0]:
-                    heapq.heapreplace(held, (-x, j))
-                else:
-                    continue
-                heapq.heappush(todo, (x, j))
-        return [j for _, j in held]
+            done[live, k] = True
+            near = links[found[live, k]]
+            fresh = ~seen[live[:, None], near]
+            seen[live[:, None], near] = True
+            d = self.norm[near] + qq[live, None] - 2 * np.einsum("rd,rkd->rk", q[live], self.x[near])
+            d = np.where(fresh, np.maximum(d, 0), np.inf)
+            d = np.concatenate([far[live], d], 1)
+            best = np.argpartition(d, width - 1, axis=1)[:, :width]
+            far[live] = np.take_along_axis(d, best, 1)
+            found[live] = np.take_along_axis(np.concatenate([found[live], near], 1), best, 1)
+            done[live] = np.take_along_axis(np.concatenate([done[live], ~fresh], 1), best, 1)
+        far[found < 0] = np.inf
+        order = np.lexsort((found, far))
+        found, far = np.take_along_axis(found, order, 1), np.take_along_axis(far, order, 1)
+        return np.where(np.isfinite(far), found, -1), far
+
+    def search(self, q: np.ndarray, beam: int = BEAM) -> np.ndarray:
+        """For each of q about beam nodes near it, nearest first; -1 for none."""
+        if not self.n:
+            return np.empty((len(q), 0), int)
+        out = []
+        for lo in range(0, len(q), BLOCK):
+            own = self._moved(q[lo : lo + BLOCK])
+            at = np.full(len(own), self.entry)
+            for level in range(len(self.links) - 1, 0, -1):
+                at = self.beam(level, own, at, 1)[0][:, 0]
+            out.append(self.beam(0, own, at, beam)[0])
+        return np.concatenate(out)
 
 
 def _matrix(lists, kind: type = np.float64) -> np.ndarray:
@@ -172,26 +244,40 @@ def _matrix(lists, kind: type = np.float64) -> np.ndarray:
     return flat.reshape(len(lists), -1)
 
 
+def nearest(x: np.ndarray, ids: list[list[int]], near: np.ndarray, q: np.ndarray, query_id: int, k: int) -> list[tuple[float, int]]:
+    """The k nearest distinct ids but the query's own among the nodes near, with exact distances, nearest first."""
+    near = near[near >= 0]
+    least: dict[int, float] = {}
+    for d, j in sorted(zip(np.sqrt(((x[near] - q) ** 2).sum(1)).tolist(), near.tolist())):
+        for i in ids[j]:
+            if i != query_id:
+                least.setdefault(i, d)
+    return sorted((d, i) for i, d in least.items())[:k]
+
+
 def index(stage: Stage, rows: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
     """A graph for each shard of rows(vec_id, vector, dim): (dim, shard, vectors, ids, layers)."""
-    # The smallest ids of each distinct vector; the rank's limit is applied before the shuffle too.
+    # The smallest distinct ids of each distinct vector; the rank's limit is applied before its shuffle too.
     by = Window.partitionBy("vector").orderBy("vec_id")
-    few = rows.select("vec_id", "vector", "dim").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k + 1)
+    few = rows.select("vec_id", "vector", "dim").distinct().withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k + 1)
     classes = stage.write(few.groupBy("vector", "dim").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "classes")
-    n_shards = classes.groupBy("dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("n_shards"))
-    dealt = classes.join(n_shards, "dim").withColumn("shard", F.pmod(F.xxhash64("ids"), F.col("n_shards")).cast("int"))
+    n_shards = stage.write(classes.groupBy("dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("n_shards")), "n_shards")
+    total = n_shards.agg(F.sum("n_shards")).first()[0] or 1
+    dealt = classes.join(n_shards, "dim").withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("n_shards")).cast("int"))
     vector, ids = (classes.schema[c].dataType.simpleString() for c in ("vector", "ids"))
 
     def build(table):
         table = table.sort_by([("first", "ascending")])
         graph = Graph(_matrix(table.column("vector")))
-        layers = [{"nodes": a.tobytes(), "links": b.tobytes(), "degree": b.shape[1]} for a, b in graph.layers]
+        layers = [{"nodes": a.tobytes(), "links": b.tobytes(), "degree": b.shape[1]} for a, b in graph.layers()]
         kinds = pa.list_(pa.struct([("nodes", pa.binary()), ("links", pa.binary()), ("degree", pa.int32())]))
         lists = lambda c: pa.array([table.column(c).to_pylist()], pa.list_(table.schema.field(c).type))
         return pa.table({"dim": table.column("dim")[:1], "shard": table.column("shard")[:1], "vectors": lists("vector"), "ids": lists("ids"), "layers": pa.array([layers], kinds)})
 
     schema = f"dim int, shard int, vectors array<{vector}>, ids array<{ids}>, layers array<struct<nodes:binary,links:binary,degree:int>>"
     dealt = dealt.select("dim", "shard", "vector", "ids", F.element_at("ids", 1).alias("first"))
+    # A number of partitions of its own, which is not coalesced by bytes: what a task costs is the graph.
+    dealt = dealt.repartition(2 * int(total), "dim", "shard")
     return stage.write(dealt.groupBy("dim", "shard").applyInArrow(build, schema), "index")
 
 
@@ -212,18 +298,19 @@ def search(stage: Stage, built: DataFrame, queries: DataFrame, k: int = K, beam:
             layers = []
             for layer in graphs.column("layers")[0].as_py():
                 layers.append((np.frombuffer(layer["nodes"], np.int32), np.frombuffer(layer["links"], np.int32).reshape(-1, layer["degree"])))
-            graph = Graph(x, layers)
-            for query_id, q in zip(asked.column("query_id").to_pylist(), _matrix(asked.column("vector"))):
-                near = np.array(graph.search(q, beam))
-                exact = np.sqrt(((x[near] - q) ** 2).sum(1))
-                best = sorted((d, i) for d, j in zip(exact.tolist(), near.tolist()) for i in ids[j] if i != query_id)[:k]
+            q = _matrix(asked.column("vector"))
+            for query_id, own, near in zip(asked.column("query_id").to_pylist(), q, Graph(x, layers).search(q, beam)):
+                best = nearest(x, ids, near, own, query_id, k)
                 found["query_id"] += [query_id] * len(best)
                 found["score"] += [d for d, _ in best]
                 found["vec_id"] += [i for _, i in best]
         return pa.table({n: pa.array(v, names[n]) for n, v in found.items()})
 
     key = ("dim", "shard", "block")
+    n_tasks = max(1, 2 * built.count() * n_blocks)
+    copies, asked = (t.repartition(n_tasks, *key) for t in (copies, asked))
     each = copies.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(run, "query_id long, vec_id long, score double")
+    each = each.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -233,8 +320,13 @@ def prepared(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     return vectors.where(sound(v) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vector"), F.size(v).alias("dim"))
 
 
-def op10_ann(spark, sf_dir: str) -> DataFrame:
-    rows = prepared(read(spark, sf_dir, "embeddings"))
-    stage = Stage(spark)
-    queries = rows.where(F.col("vec_id") % 100 == 0).distinct().withColumnRenamed("vec_id", "query_id")
+def neighbours(vectors: DataFrame, every: int = 100) -> DataFrame:
+    """(query_id, rank, vec_id, score): the K nearest of each row whose vec_id is divisible by every."""
+    rows = prepared(vectors)
+    stage = Stage(vectors.sparkSession)
+    queries = rows.where(F.col("vec_id") % every == 0).distinct().withColumnRenamed("vec_id", "query_id")
     return search(stage, index(stage, rows), queries)
+
+
+def op10_ann(spark, sf_dir: str) -> DataFrame:
+    return neighbours(read(spark, sf_dir, "embeddings"))

@@ -305,13 +305,38 @@ def test_every_node_can_be_reached():
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.standard_normal((300, 8)) * 1e-4 + c for c in rng.standard_normal((6, 8)) * 10])
     g = ann.Graph(x)
-    nodes, out = g.layers[0]
-    seen, front = {0}, [0]
+    nodes, out = g.layers()[0]
+    assert nodes.tolist() == list(range(len(x))) or len(g.layers()) == 1
+    out = out[np.argsort(nodes)]
+    seen, front = {g.entry}, [g.entry]
     while front:
         front = [j for i in front for j in out[i].tolist() if j >= 0 and j not in seen and not seen.add(j)]
     assert len(seen) == len(x) == len(nodes)
 
 
+def test_neighbours_of_repeated_rows_copies_and_several_vectors(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    same, far = [1.0] * 8, [40.0] + [0.0] * 7
+    rows = [(0, same, 0)] * 12 + [(7, same, 0), (1000, same, 0), (1000, same, 0)]
+    rows += [(k, [float(v) for v in rng.standard_normal(8) * 3], 0) for k in range(100, 140)]
+    rows += [(k, far, 0) for k in range(500, 530)] * 2  # ties, and repeated rows
+    rows += [(60, [float(v) for v in rng.standard_normal(8)], 0), (60, same, 0)]  # one id with two vectors
+    rows += [(200, [0.0] * 8, 0), (None, same, 0), (300, None, 0), (400, [math.nan] * 8, 0)]
+    t = spark.createDataFrame(rows, VECTORS)
+    t.withColumn("rank", F.lit(3)).withColumn("dim", F.lit(1)).withColumn("score", F.lit("x")).repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {}
+    for r in ann.op10_ann(spark, str(tmp_path)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    by = {}
+    for i, v, _ in rows:
+        if i is not None and v and any(v) and all(map(math.isfinite, v)):
+            by.setdefault(i, set()).add(tuple(v))
+    for q in [i for i in by if i % 100 == 0]:
+        near = sorted((min(math.dist(a, b) for a in by[q] for b in by[i]), i) for i in by if i != q)[:10]
+        assert [(k, i) for k, i, _ in sorted(got.pop(q))] == [(k + 1, i) for k, (_, i) in enumerate(near)]
+    assert not got
+
+
 # Passages.
 def test_planted_passages_are_found_and_nothing_else(spark):
     rng = random.Random(8)
