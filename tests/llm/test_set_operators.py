@@ -394,6 +394,50 @@ def test_adjacent_frequent_lines_are_one_passage(spark):
     assert {(len(early) + a, len(early) + b) for a, b in want} <= found
 
 
+def test_a_passage_whose_pieces_stand_elsewhere_too(spark):
+    rng = random.Random(15)
+    words = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    passage = words(70)
+    pieces = [" ".join(words(30) + passage[k : k + 5 + k % 3] + words(30)) for k in [*range(66)] * 2]
+    both = [" ".join(words(20) + passage + words(15)), " ".join(words(35) + passage + words(10))]
+    rows = list(enumerate(pieces[:66] + both + pieces[66:]))
+    (r,) = passages.passages(docs(spark, rows).coalesce(1)).collect()
+    assert {r.doc_id, r.other_id} == {66, 67} and r.end - r.start >= 70
+
+
+def test_all_verbatim_runs_against_brute_force(spark):
+    rng = random.Random(16)
+    lines = [[f"v{rng.randrange(4000)}" for _ in range(rng.randint(12, 40))] for _ in range(14)]
+    texts = [[w for _ in range(rng.randint(2, 6)) for w in (rng.choice(lines) if rng.random() < 0.8 else [f"u{rng.randrange(10**6)}" for _ in range(8)])] for _ in range(50)]
+    texts += [texts[3], texts[3], texts[7] + texts[3]]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(None, " ".join(texts[3])), (5, None), (6, "")]
+    found = [r for r in passages.passages(docs(spark, rows).withColumn("row", F.lit(1)).withColumn("salt", F.lit(1)).repartition(3)).collect() if None not in (r.doc_id, r.other_id)]
+    size, where = passages.LEAST_WORDS + passages.THIN - 1, {}
+    for k, t in enumerate(texts):
+        for at in range(len(t) - size + 1):
+            where.setdefault(tuple(t[at : at + size]), set()).add((k, at))
+    spans, top = {}, list(range(len(texts)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for r in found:
+        assert texts[r.doc_id][r.start : r.end] and r.similarity >= 0.8
+        spans.setdefault(r.doc_id, []).append((r.start, r.end))
+        spans.setdefault(r.other_id, []).append((r.other_start, r.other_end))
+        top[find(r.doc_id)] = find(r.other_id)
+    checked = 0
+    for held in where.values():
+        if len({k for k, _ in held}) > 1:
+            assert len({find(k) for k, _ in held}) == 1
+            for k, at in held:
+                checked += 1
+                assert any(min(e, at + size) - max(s, at) >= passages.LEAST_WORDS for s, e in spans[k]), (k, at)
+    assert checked > 150
+
+
 def test_chains_against_brute_force():
     from itertools import combinations
 
