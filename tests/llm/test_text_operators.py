@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -133,8 +134,8 @@ def test_base_secrets_against_brute_force(spark):
 def test_own_kinds():
     import regex
 
-    for kind, pattern, group, least in secrets.OWN:
-        assert regex.compile(pattern).groups == group and least > 0 and kind == kind.lower()
+    for kind, pattern, group, least, gate in secrets.OWN:
+        assert regex.compile(pattern).groups == group and least > 0 and kind == kind.lower() and gate
 
 
 def test_ownership_tells_examples_from_live_credentials(spark):
@@ -162,6 +163,38 @@ def test_odd_rows_of_secrets(spark):
     assert out.columns == t.columns and sorted(map(str, out.collect())) == sorted(map(str, t.collect()))
 
 
+LONG = {
+    "letters": "a" * 10**6, "digits": "1" * 10**6, "capitals": "AKIA" * 250_000, "hex": ("0123456789abcdef" * 2)[:31] + " ", "jwt": "eyJ" * 330_000, "dots": "eyJabcdefgh." * 80_000,
+    "pem": "-----BEGIN " + "A" * 10**6, "pems": "-----BEGIN RSA PRIVATE KEY-----" * 30_000, "scheme": "a+" * 500_000 + "://", "urls": "a://b:" * 160_000, "user": "a://" + "u" * 10**6, "blanks": "token" + " " * 10**6,
+    "keys": "token" * 200_000, "assigns": "token=" * 160_000, "slack": "xoxb-" * 200_000, "github": "ghp_" * 250_000, "stripe": "sk_live_" * 120_000, "google": "AIza" * 250_000, "secret": "password=abcdefgh " * 55_000,
+}
+
+
+def test_a_megabyte_of_any_run_takes_seconds(spark):
+    LONG["hex"] *= 30_000
+    rows = [(k, text) for k, text in enumerate(LONG.values())]
+    began = time.perf_counter()
+    got = {r.doc_id: r.spans for r in secrets.scan(docs(spark, rows)).collect()}
+    assert time.perf_counter() - began < 120
+    for k, text in rows:
+        assert [(s.start, s.rank, s.end) for s in got[k] if s.rank < 3] == brute_secrets(text)
+    assert len(got[len(rows) - 1]) == 55_000
+    clean = {r.doc_id: r.text for r in secrets.redact(docs(spark, [(1, "é password=abcdefgh! " * 30_000), (2, "token=" + "x" * 10**6)])).collect()}
+    assert clean == {1: "é <secret>! " * 30_000, 2: "<secret>"}
+
+
+def test_each_kind_is_found_where_it_stands(spark):
+    key = "A1b2C3d4" * 6
+    cases = [
+        ("github", "ghp_" + key), ("github", "github_pat_" + key), ("slack", "xoxb-" + key), ("jwt", f"eyJ{key}.eyJ{key}.{key}"), ("google", "AIza" + key[:35]),
+        ("stripe", "sk_live_" + key), ("pem", f"-----BEGIN RSA PRIVATE KEY-----\n{key}"), ("url", "https://user:" + "p4ss" * 40 + "@"), ("url", "ftp://" + "u" * 100 + ":secret99@"),
+    ]
+    rows = [(k, f"é👍 {text}, end") for k, (_, text) in enumerate(cases)]
+    got = {r.doc_id: r.spans for r in secrets.scan(docs(spark, rows)).collect()}
+    for k, (kind, text) in enumerate(cases):
+        assert (3, 3 + len(text), kind) in {(s.start, s.end, secrets.KINDS[s.rank][0]) for s in got[k]}, (kind, got[k])
+
+
 def test_secrets_run_no_python(spark):
     plan = secrets.find(docs(spark, [])).select("doc_id", "spans")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
