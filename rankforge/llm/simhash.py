@@ -44,7 +44,11 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Unsigned 64-bit SimHash of a whole text; without words it is zero."""
-    hashes = shingle_hashes(text, shingle)
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):  # bounds the unpacked bits of a very long text
         block = hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -158,7 +162,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(
     """docs with one document of each group of near copies: the one with the smallest doc_id.
 
     Near copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and chains of such
-    texts. Fingerprints would lose most of them below 0.95, so all pairs are found by their sets (see jaccard).
+    texts. Links of fingerprints give the first pairs, but lose most below 0.95; a prefix filter finds the others, and
+    every pair is verified by its sets (see jaccard).
     A row with a null doc_id stays only where its whole group has none; of equal ids one row stays.
     """
     key, key2 = identity("doc_id", "text")
