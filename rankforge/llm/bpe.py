@@ -7,7 +7,7 @@ worked out once. A token fits after another if applying the merges to both texts
 across the border, which is decided by undoing their merges from the last one on.
 
 The text pipeline is that of the public word-level file: added tokens are cut out of the raw text, the rest is
-brought to NFC and lower case, split into contractions, letter runs, single digits and symbol runs, and each
+brought to NFC and lower case (by the library's version of Unicode), split into contractions, letter runs, single digits and symbol runs, and each
 word's bytes become symbols, the last one with an end-of-word mark. Decoding joins the tokens with blanks.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows are encoded one by one;
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 from array import array
 
 import numpy as np
@@ -27,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from rankforge.llm.common import read
 
@@ -34,12 +34,36 @@ VOCABULARY = "word_bpe_49k.json"
 #: Distinct words whose encodings a worker keeps from batch to batch; beyond, it begins anew.
 MEMORY = 450_000
 
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + _SPACE + r"\p{L}\p{N}]+")
-#: The same for texts in ASCII, in lower case.
+#: Words of texts in ASCII, in lower case.
 _ASCII = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 
 
+def _ranges(codes: set[int]) -> str:
+    """Code points as the inside of a character class."""
+    starts, ends = sorted(c for c in codes if c - 1 not in codes), sorted(c for c in codes if c + 1 not in codes)
+    return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(starts, ends))
+
+
+def unicode_rules() -> tuple[str, dict[int, str]]:
+    """The pattern of words for all texts, and lower case where it isn't Python's, by the library's version of Unicode.
+
+    Letters, numbers and white space are asked of the library's own expressions, one code point after another.
+    """
+    codes = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    everything = "".join(codes)
+    classes = []
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        rest = pre_tokenizers.Split(Regex(name), "removed").pre_tokenize_str(everything)
+        theirs = set(map(ord, codes)) - {ord(c) for piece, _ in rest for c in piece}
+        ours = {ord(c) for c in regex.findall(name, everything)}
+        more, less = _ranges(theirs - ours), _ranges(ours - theirs)
+        classes.append(f"[[{name}{more}]--[{less}]]" if less else f"[{name}{more}]")
+    lower = normalizers.Lowercase()
+    other = {ord(c): low for c in codes if (low := lower.normalize_str(c)) != c.lower()}
+    letter, number, space = classes
+    return rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|[^{space}{letter}{number}]+", other | {0x3A3: "\u03c3"}
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself if printable, else the next free one from 256 on."""
     out, free = [], 256
@@ -64,6 +88,7 @@ class Vocabulary:
         self.end: str = model["end_of_word_suffix"]
         self.merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.words, self.lower = unicode_rules()
 
 
 class Encoder:
@@ -89,6 +114,7 @@ class Encoder:
         self.final = {t.removesuffix(v.end): i for t, i in v.ids.items() if i in sound and t.endswith(v.end)}
         self.longest = max(map(len, self.final))
         self._automaton()
+        self.words, self.nfc = regex.compile(v.words), normalizers.NFC()
         self.symbols = byte_symbols()
         self.table = {b: s for b, s in enumerate(self.symbols)}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(v.added, key=len, reverse=True))) + ")") if v.added else None
@@ -216,7 +242,7 @@ class Encoder:
         """Words of a text without added tokens."""
         if text.isascii():
             return _ASCII.findall(text.lower())
-        return _PIECES.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        return self.words.findall(self.nfc.normalize_str(text).translate(self.v.lower).lower())
 
     def _spell(self, word: str) -> str:
         """A word's bytes as symbols."""

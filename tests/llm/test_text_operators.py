@@ -96,6 +96,19 @@ def test_tokens_equal_the_library(spark):
         assert got[k].n_tokens == len(ids) and got[k].decoded == library.decode(ids, skip_special_tokens=False)
 
 
+def test_every_code_point_is_encoded_as_by_the_library():
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    library, encoder = Tokenizer.from_file(path), bpe.Encoder(bpe.Vocabulary(path))
+    codes = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and (c < 0x32000 or 0xE0000 <= c < 0xE0200)]
+    # Between letters a code point shows its class, its lower case, and its order among combining marks.
+    texts = [f"a{c}b1{c}2 \u0323{c}\u0301" for c in codes]
+    for lo in range(0, len(texts), 4096):
+        some = texts[lo : lo + 4096]
+        expected = [x.ids for x in library.encode_batch(some, add_special_tokens=False)]
+        for text, ids, (got, said) in zip(some, expected, encoder.encode_batch(some)):
+            assert got == b"".join(i.to_bytes(4, "little") for i in ids) and said.decode() == library.decode(ids, skip_special_tokens=False), repr(text)
+
+
 def test_tokens_digest_and_odd_rows(spark):
     rows = bpe.encode(docs(spark, ODD), digest=True).collect()
     empty = hashlib.sha256(b"").hexdigest()
