@@ -405,6 +405,17 @@ def test_a_passage_whose_pieces_stand_elsewhere_too(spark):
     assert {r.doc_id, r.other_id} == {66, 67} and r.end - r.start >= 70
 
 
+def test_texts_that_repeat_themselves(spark):
+    rows = [(0, "on at " * 300), (1, "on at " * 1000), (2, "x y z " + "on at " * 500), (3, "la " * 5000), (4, "la " * 20000)]
+    found = passages.passages(docs(spark, rows).coalesce(1)).collect()
+    assert len(found) < 60
+    words, there = {k: len(t.split()) for k, t in rows}, {}
+    for r in found:
+        there.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+        there.setdefault(r.other_id, set()).update(range(r.other_start, r.other_end))
+    assert all(len(there[k]) >= n - 6 for k, n in words.items())
+
+
 def test_all_verbatim_runs_against_brute_force(spark):
     rng = random.Random(16)
     lines = [[f"v{rng.randrange(4000)}" for _ in range(rng.randint(12, 40))] for _ in range(14)]
