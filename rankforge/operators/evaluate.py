@@ -60,15 +60,18 @@ def per_query(run: DataFrame, qrels: DataFrame) -> DataFrame:
 
 
 def measures(run: DataFrame, qrels: DataFrame) -> DataFrame:
-    """(metric, qid, value): every measure of every query, and of `all` (sums of counts, means of the rest)."""
-    wide = per_query(run, qrels)
-    counts = ["num_ret", "num_rel", "num_rel_ret"]
+    """(metric, qid, value): every measure of every query, and of `all` (sums of counts, means of the rest).
+
+    One pass over the ranking: both kinds of rows are grouping sets of one table of queries x measures.
+    """
+    wide = per_query(run, qrels).withColumn("num_q", F.lit(1.0))
+    sums = ["num_ret", "num_rel", "num_rel_ret", "num_q"]
     names = [c for c in wide.columns if c != "qid"]
     long = wide.select("qid", F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names))).alias("m")).select("m.metric", "qid", "m.value")
-    overall = long.groupBy("metric").agg(F.sum("value").alias("s"), F.avg("value").alias("a"))
-    overall = overall.select("metric", F.lit("all").alias("qid"), F.when(F.col("metric").isin(counts), F.col("s")).otherwise(F.col("a")).alias("value"))
-    num_q = wide.agg(F.count("*").cast("double").alias("value")).select(F.lit("num_q").alias("metric"), F.lit("all").alias("qid"), "value")
-    return long.unionByName(overall).unionByName(num_q)
+    both = long.groupingSets([["metric", "qid"], ["metric"]], "metric", "qid").agg(F.sum("value").alias("s"), F.avg("value").alias("a"), F.grouping("qid").alias("overall"))
+    both = both.where((F.col("overall") == 1) | (F.col("metric") != "num_q"))
+    value = F.when(F.col("metric").isin(sums), F.col("s")).otherwise(F.col("a"))
+    return both.select("metric", F.when(F.col("overall") == 1, "all").otherwise(F.col("qid")).alias("qid"), value.alias("value"))
 
 
 def labelled(found: DataFrame) -> DataFrame:

@@ -51,8 +51,8 @@ def _retrieval(name: str, queries: dict[str, str] | str, model, k: int = 10) ->
     _query(name, oracle.ranking(batch, type(model).__name__, k))(lambda spark, sf_dir: rank(documents(spark, sf_dir), batch, model, k, digits=6))
 
 
-def _positional(name: str, query: str, with_sql: bool = True) -> None:
-    @_query(name, oracle.inverted_list(query) if with_sql else None)
+def _positional(name: str, query: str) -> None:
+    @_query(name, oracle.inverted_list(query))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         index = documents(spark, sf_dir)
         found = postings_of(index, {"1": optimize(parse(query, index.analyzer))})
@@ -156,7 +156,7 @@ _positional("iop_near_nested", "#near/30(#near/8(th er) ha)")
 _positional("iop_near_of_syn", "#near/2(#syn(th nd) #syn(er ha))")
 _positional("iop_window", "#window/8(th er)")
 _positional("iop_window_nested", "#window/12(#near/8(th er) ha)")
-_positional("iop_window_3", "#window/16(th er ha)", with_sql=False)
+_positional("iop_window_3", "#window/16(th er ha)")
 
 # Score operators and models.
 _retrieval("bool_and", "#and(th er ha)", models.UnrankedBoolean())
@@ -178,6 +178,7 @@ _retrieval("bm25_nested", "#and(#or(thth thon) #sum(th #near/8(nd ha)))", models
 _retrieval("sum_duplicates", "#sum(th er th)", models.BM25())
 _retrieval("rank_topk_batch", BATCH, models.BM25(), 20)
 _retrieval("rank_ties", "#or(th er)", models.RankedBoolean(), 50)
+_retrieval("pruned_tree", "#AND(#Or(THTH the thon) #sum( #and(of) #sum(Th) ha #syn(nd)))", models.BM25())
 _retrieval("stopword_gaps", "#near/2(th of er)", models.RankedBoolean())
 
 
@@ -249,12 +250,22 @@ def prf_learned_rm3(spark, sf_dir):
     return prf.learned_queries(selected, f)
 
 
-@_query("prf_second_pass")
+# The expanded query is #wsum(0.5 #sum(original) 0.5 #wsum(weights and terms learned)).
+_SECOND = """tot AS (SELECT qid, sum(score) AS total FROM sel GROUP BY qid),
+    ws AS (SELECT sel.qid, term, 0.5 * CAST(printf('%.6f', score / total) AS DOUBLE) AS wt FROM sel JOIN tot ON tot.qid = sel.qid
+      UNION ALL SELECT qid, term, 0.5 FROM (VALUES ('1', 'thth'), ('1', 'thon'), ('2', 'th'), ('2', 'ha')) o(qid, term)),
+    b AS (SELECT ws.qid, p.docid, wt * ln(((SELECT n FROM nd) - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w.ws) / (SELECT average FROM st))) AS s
+      FROM ws JOIN p ON p.term = ws.term JOIN dfs ON dfs.term = p.term JOIN w ON w.docid = p.docid),
+    r AS (SELECT qid, docid, round(CAST(sum(s) AS DOUBLE), 6) AS score FROM b GROUP BY qid, docid)
+    SELECT qid, docid, 'doc-' || lpad(CAST(docid AS VARCHAR), 8, '0') AS ext_id, score, CAST(rank AS INTEGER) AS rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM r) WHERE rank <= 20"""
+
+
+@_query("prf_second_pass", _prf_sql("rm3", "@").removesuffix("@").rstrip() + ", " + _SECOND)
 def prf_second_pass(spark, sf_dir):
-    """The second plan depends on what the first one learned, so there is no one SQL text for it."""
-    index = documents(spark, sf_dir)
-    best = rank(index, PRF_QUERY, models.BM25(), 100, digits=6)
-    _, expanded = prf.rewrite(index, PRF_QUERY, best, prf.Feedback("rm3", _DOCS, _TERMS, orig_weight=0.5))
+    index, f, selected = _feedback(spark, sf_dir, "rm3")
+    found = {r.qid: r.learned for r in prf.learned_queries(selected, f).collect()}
+    expanded = {qid: prf.expand(q, found.get(qid), prf.Feedback("rm3", _DOCS, _TERMS, orig_weight=0.5)) for qid, q in PRF_QUERY.items()}
     return rank(index, expanded, models.BM25(), 20, digits=6)
 
 
@@ -298,10 +309,15 @@ _QRELS = "q AS (SELECT qid, 'doc-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS e
 _JUDGED = """j AS (SELECT r.qid, r.ext_id, coalesce(q.rel, 0) AS rel, row_number() OVER (PARTITION BY r.qid ORDER BY score DESC, r.ext_id DESC) AS place
    FROM (SELECT * FROM ranked WHERE rank <= 100) r LEFT JOIN q ON q.qid = r.qid AND q.ext_id = r.ext_id),
  h AS (SELECT *, CASE WHEN rel > 0 THEN 1 ELSE 0 END AS hit, sum(CASE WHEN rel > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY place) AS hits FROM j),
- i AS (SELECT qid, count(*) AS num_rel, sum(CASE WHEN place <= 10 THEN rel / log2(place + 1.0) END) AS ideal_10 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, ext_id) AS place FROM q WHERE rel > 0) GROUP BY qid),
- m AS (SELECT h.qid, sum(hit * hits * 1.0 / place) / any_value(num_rel) AS map, coalesce(1.0 / min(CASE WHEN hit = 1 THEN place END), 0.0) AS recip_rank,
-   sum(CASE WHEN place <= 10 THEN hit ELSE 0 END) / 10.0 AS P_10, sum(CASE WHEN place <= 10 THEN rel / log2(place + 1.0) ELSE 0 END) / any_value(ideal_10) AS ndcg_cut_10,
-   sum(CASE WHEN place <= 100 THEN hit ELSE 0 END) * 1.0 / any_value(num_rel) AS recall_100 FROM h JOIN i ON i.qid = h.qid GROUP BY h.qid)"""
+{ideal}, {measures}"""
+_CUTS = (5, 10, 15, 20, 30, 100, 200, 500, 1000)
+_ALL = {"map": "sum(hit * hits * 1.0 / place) / any_value(num_rel)", "map_cut_1000": "sum(CASE WHEN place <= 1000 THEN hit * hits * 1.0 / place END) / any_value(num_rel)", "recip_rank": "coalesce(1.0 / min(CASE WHEN hit = 1 THEN place END), 0.0)"}
+_ALL |= {"ndcg": "sum(rel / log2(place + 1.0)) / any_value(ideal)", "num_ret": "count(*)", "num_rel": "any_value(num_rel)", "num_rel_ret": "sum(hit)"}
+_ALL |= {f"P_{k}": f"sum(CASE WHEN place <= {k} THEN hit ELSE 0 END) / {k}.0" for k in _CUTS} | {f"ndcg_cut_{k}": f"sum(CASE WHEN place <= {k} THEN rel / log2(place + 1.0) ELSE 0 END) / any_value(ideal_{k})" for k in _CUTS}
+_ALL |= {f"recall_{k}": f"sum(CASE WHEN place <= {k} THEN hit ELSE 0 END) * 1.0 / any_value(num_rel)" for k in (100, 500, 1000)}
+_IDEAL = "i AS (SELECT qid, count(*) AS num_rel, sum(rel / log2(place + 1.0)) AS ideal, " + ", ".join(f"sum(CASE WHEN place <= {k} THEN rel / log2(place + 1.0) END) AS ideal_{k}" for k in _CUTS)
+_IDEAL += " FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, ext_id) AS place FROM q WHERE rel > 0) GROUP BY qid)"
+_JUDGED = _JUDGED.format(ideal=_IDEAL, measures="m AS (SELECT h.qid, " + ", ".join(f"{x} AS {c}" for c, x in _ALL.items()) + " FROM h JOIN i ON i.qid = h.qid GROUP BY h.qid)")
 _EVAL = {k: v for k, v in BATCH.items() if k != "5"}
 
 
@@ -319,17 +335,20 @@ def _run(spark, sf_dir, queries=_EVAL, model=None) -> DataFrame:
     return rank(documents(spark, sf_dir), queries, model or models.BM25(), 100, digits=6)
 
 
-_SHOWN = ("map", "recip_rank", "P_10", "ndcg_cut_10", "recall_100")
-_LONG = " UNION ALL ".join(f"SELECT '{c}' AS metric, qid, CAST(round({c}, 6) AS DOUBLE) AS value FROM m UNION ALL SELECT '{c}', 'all', CAST(round(avg({c}), 6) AS DOUBLE) FROM m" for c in _SHOWN)
+_COUNTS = ("num_ret", "num_rel", "num_rel_ret")
+_LONG = "SELECT 'num_q' AS metric, 'all' AS qid, CAST(count(*) AS DOUBLE) AS value FROM m" + "".join(
+    f" UNION ALL SELECT '{c}', qid, round(CAST({c} AS DOUBLE), 6) FROM m UNION ALL SELECT '{c}', 'all', round(CAST({'sum' if c in _COUNTS else 'avg'}({c}) AS DOUBLE), 6) FROM m" for c in _ALL
+)
+_LABELS = "(VALUES ('MRR', 'recip_rank'), ('P@10', 'P_10'), ('P@20', 'P_20'), ('P@30', 'P_30'), ('MAP@1K', 'map_cut_1000'), ('NDCG@10', 'ndcg_cut_10'), ('NDCG@20', 'ndcg_cut_20'), ('NDCG@30', 'ndcg_cut_30'), ('R@100', 'recall_100'), ('R@1000', 'recall_1000')) l(label, metric)"
 
 
 @_query("eval_metrics", _eval_sql(_LONG))
 def eval_metrics(spark, sf_dir):
-    found = evaluate.measures(_run(spark, sf_dir), _judgements(spark, sf_dir, _EVAL))
-    return _rounded(found.where(F.col("metric").isin(*_SHOWN)), "value")
+    """Every measure of every query, and over all."""
+    return _rounded(evaluate.measures(_run(spark, sf_dir), _judgements(spark, sf_dir, _EVAL)), "value")
 
 
-@_query("eval_labelled")
+@_query("eval_labelled", _eval_sql(f"SELECT label, printf('%.4f', value) AS value FROM {_LABELS} JOIN ({_LONG}) e ON e.metric = l.metric AND e.qid = 'all'"))
 def eval_labelled(spark, sf_dir):
     return evaluate.labelled(evaluate.measures(_run(spark, sf_dir), _judgements(spark, sf_dir, _EVAL)))
 
