@@ -31,8 +31,8 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 from rankforge.llm.common import read
 
 VOCABULARY = "word_bpe_49k.json"
-#: Distinct words whose encodings a worker keeps from batch to batch; beyond, it begins anew.
-MEMORY = 450_000
+#: Distinct words whose encodings a worker keeps from batch to batch, and pairs of tokens; beyond, it begins anew.
+MEMORY, PAIRS = 250_000, 250_000
 
 #: Words of texts in ASCII, in lower case.
 _ASCII = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
@@ -184,7 +184,7 @@ class Encoder:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether token b can follow token a within a word; the answer is kept."""
-        if len(self._fits) > 1_000_000:
+        if len(self._fits) > PAIRS:
             self._fits.clear()
         got = self._fits[a * self._width + b] = self._apart(a, b, 1 << 60)
         return got

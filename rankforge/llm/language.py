@@ -177,17 +177,19 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
     least: columns keep alone, of the rows whose language is known and holds at least that share.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES x BUCKETS
-    source = docs.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keep)), F.col(text_col).alias("text"))
-    kinds = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(source.schema.fields[:-1]))
+    # Texts go to the tasks once, even if they are among the columns to keep.
+    names = [*keep, *[text_col] * (text_col not in keep)]
+    source, text_at = docs.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(names))), names.index(text_col)
+    kinds = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(source.schema.fields[: len(keep)]))
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, batch):
                 b = whole.slice(at, batch)
-                got = sent.value.infer(b.column(b.num_columns - 1).to_pylist())
+                got = sent.value.infer(b.column(text_at).to_pylist())
                 shares = pa.array([list(s.items()) for *_, s in got], pa.map_(pa.string(), pa.float64()))
                 new = [pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), shares]
-                yield pa.RecordBatch.from_arrays(b.columns[:-1] + new, names=[*b.schema.names[:-1], "lang_pred", "score", "shares"])
+                yield pa.RecordBatch.from_arrays(b.columns[: len(keep)] + new, names=[*b.schema.names[: len(keep)], "lang_pred", "score", "shares"])
 
     out = source.mapInArrow(run, f"{kinds}, lang_pred string, score double, shares map<string,double>")
     kept = [F.col(f"k{i}").alias(k) for i, k in enumerate(keep)]
