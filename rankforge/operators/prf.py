@@ -1,7 +1,8 @@
 """Pseudo-relevance feedback: terms of the best documents expand the query.
 
-Term scores are one plan for all queries: the best documents (a broadcast of queries x num_docs rows) meet the postings of
-the field, scores are summed by query and term, and the best terms are cut by rank.
+Term scores are one plan for all queries: the best documents (queries x num_docs rows, which the driver holds) meet their
+postings, scores are summed by query and term, and the best terms are cut by rank. Over a written index the documents are
+a filter that reaches the files sorted by document, and document frequencies are read, not counted.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from rankforge.sources.index import Index
 
 # Fixed values of the okapi weight.
 TF_OFFSET, TF_LENGTH = 0.5, 1.5
+#: Up to so many best documents are a filter that reaches the files; more are joined.
+FILTER_DOCS = 1000
 
 
 @dataclass(frozen=True)
@@ -40,20 +43,27 @@ class Feedback:
 
 def term_scores(index: Index, ranking: DataFrame, f: Feedback) -> DataFrame:
     """(qid, term, score) of every term of each query's best documents; ranking(qid, docid, score, rank)."""
-    best = ranking.where(F.col("rank") <= f.num_docs).select("qid", "docid", "score", "rank")
+    spark = ranking.sparkSession
+    rows = ranking.where(F.col("rank") <= f.num_docs).select("qid", "docid", "score", "rank").collect()
+    best = spark.createDataFrame(rows, "qid string, docid long, score double, rank int")
     by_query = Window.partitionBy("qid")
     power = F.exp(F.col("score") - F.max("score").over(by_query))
     # Weights are shared among all best documents, those without terms too.
     best = best.withColumn("w", power).withColumn("w", F.col("w") / F.sum("w").over(by_query)).drop("score")
     usable = ~F.col("term").rlike(r"[.,]") & F.col("term").rlike(r"^[\x00-\x7F]*$")
-    in_field = F.col("field") == f.field_in
-    lengths = index.doc_len.where(in_field & (F.col("len_positions") > 0)).select("docid", F.col("len_positions").alias("length"))
-    found = index.postings.where(in_field & usable & (F.col("tf") > 0)).select("docid", "term", "tf")
-    met = found.join(F.broadcast(best), "docid").join(lengths, "docid")
+    in_field, docids = F.col("field") == f.field_in, sorted({r.docid for r in rows})
+    own = F.col("docid").isin(docids) if len(docids) <= FILTER_DOCS else F.lit(True)
+    lengths = index.doc_len.where(in_field & own & (F.col("len_positions") > 0)).select("docid", F.col("len_positions").alias("length"))
+    postings = index.postings if index.vectors is None else index.vectors
+    found = postings.where(in_field & own & usable & (F.col("tf") > 0)).select("docid", "term", "tf")
+    met = found.join(best, "docid").join(lengths, "docid")
     if f.algorithm == "okapi":
         # Document frequencies only of the terms that the best documents hold.
         held = met.select("term").distinct()
-        df = index.postings.where(in_field).select("term").join(held, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+        if index.terms is not None:
+            df = index.terms.where(in_field).select("term", "df").join(held, "term", "left_semi")
+        else:
+            df = index.postings.where(in_field).select("term").join(held, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
         tf = F.col("tf") / (F.col("tf") + TF_OFFSET + TF_LENGTH * F.col("length") / F.lit(index.stats(f.field_in).average))
         rsj = F.log((F.lit(float(index.num_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         each = met.join(df, "term").withColumn("s", tf * rsj)

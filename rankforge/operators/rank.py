@@ -36,9 +36,14 @@ def trees_of(index: Index, queries: dict[str, str], model) -> dict:
     return {qid: t for qid, t in trees.items() if t is not None}
 
 
-def rank(index: Index, queries: dict[str, str], model, k: int = 1000, digits: int | None = None) -> DataFrame:
-    """Rankings of a batch of queries. A query of stopwords alone has none. digits: scores are rounded before ranking."""
+def rank(index: Index, queries: dict[str, str], model, k: int = 1000, digits: int | None = None, repeated_ids: bool = False) -> DataFrame:
+    """Rankings of a batch of queries. A query of stopwords alone has none. digits: scores are rounded before ranking.
+
+    repeated_ids: several documents may have one external id, of which the best one counts; names then come before the cut.
+    """
     scored = scores(index, trees_of(index, queries, model), model)
     if digits is not None:
         scored = scored.withColumn("score", F.round("score", digits))
+    if repeated_ids:
+        return top_distinct(scored.join(index.docs.select("docid", "ext_id"), "docid"), k)
     return top(scored, index.docs, k)

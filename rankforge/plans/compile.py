@@ -68,12 +68,16 @@ class _Batch:
     def table(self, rows: list[tuple], schema: str) -> DataFrame:
         return F.broadcast(self.index.docs.sparkSession.createDataFrame(rows, schema))
 
+    @staticmethod
+    def _of_terms(rows: DataFrame, terms: list[_Entry]) -> DataFrame:
+        """rows(field, term, ...) cut down by filters that reach the files."""
+        wanted = sorted({e.node.term for e in terms})
+        rows = rows.where(F.col("field").isin(sorted({e.node.field for e in terms})))
+        return rows.where(F.col("term").isin(wanted)) if len(wanted) <= FILTER_TERMS else rows
+
     def leaves(self, terms: list[_Entry], with_positions: bool) -> DataFrame:
         """(node, docid, tf, len_all, positions) of terms, by one scan."""
-        wanted = sorted({e.node.term for e in terms})
-        found = self.index.postings.where(F.col("field").isin(sorted({e.node.field for e in terms})))
-        if len(wanted) <= FILTER_TERMS:
-            found = found.where(F.col("term").isin(wanted))
+        found = self._of_terms(self.index.postings, terms)
         nodes = self.table([(e.node.field, e.node.term, e.id) for e in terms], "field string, term string, node int")
         positions_ = F.col("positions") if with_positions else F.lit(None).cast("array<int>").alias("positions")
         return found.join(nodes, ["field", "term"]).select("node", "docid", F.col("tf").cast("long").alias("tf"), "len_all", positions_)
@@ -123,8 +127,17 @@ class _Batch:
         nodes = [(e.id, e.parent, self.index.stats(e.node.field).average if model.uses_statistics else 1.0) for e in own]
         rows = rows.join(self.table(nodes, "node int, parent int, average double"), "node")
         if model.uses_statistics:
-            df = rows.groupBy("node").agg(F.count("*").alias("df"))  # a row for each node at most
-            rows, num_docs = rows.join(F.broadcast(df), "node"), self.index.num_docs
+            # A row for each node at most. An operator's frequency is counted; a term's stands in the index, if it is a written one.
+            counted = [e for e in own if e.node.op != "TERM" or self.index.terms is None]
+            known = [e for e in own if e.node.op == "TERM" and self.index.terms is not None]
+            parts = []
+            if counted:
+                some = rows if len(counted) == len(own) else rows.where(F.col("node").isin([e.id for e in counted]))
+                parts.append(some.groupBy("node").agg(F.count("*").alias("df")))
+            if known:
+                nodes = self.table([(e.node.field, e.node.term, e.id) for e in known], "field string, term string, node int")
+                parts.append(self._of_terms(self.index.terms, known).join(nodes, ["field", "term"]).select("node", "df"))
+            rows, num_docs = rows.join(F.broadcast(reduce(DataFrame.unionByName, parts)), "node"), self.index.num_docs
         else:
             rows, num_docs = rows.withColumn("df", F.lit(0)), 0
         score = model.score(F.col("tf"), F.col("df"), F.col("len_all"), F.col("average"), num_docs)

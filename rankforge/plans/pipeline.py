@@ -62,7 +62,7 @@ def run_rewriter(index: Index, batch: Batch, p: dict) -> Batch:
         raise ValueError("a rewriter needs a ranking")
     learned, expanded = prf.rewrite(index, batch.queries, batch.ranking, prf.Feedback.from_parameters(p))
     if "prf:expansionQueryFile" in p:
-        trec.write_expansion(learned, p["prf:expansionQueryFile"])
+        trec.write_expansion(index.docs.sparkSession, learned, p["prf:expansionQueryFile"])
     return replace(batch, queries=expanded, learned=learned)
 
 

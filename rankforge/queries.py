@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from rankforge.plans.compile import postings_of
 from rankforge.plans.parser import parse
 from rankforge.plans.rewrite import optimize
 from rankforge.sources import trec
-from rankforge.sources.corpus import from_documents, from_pages
+from rankforge.sources.corpus import Corpus, from_documents, from_pages, scratch
 from rankforge.sources.index import Index
 
 QUERIES, ORACLES = {}, {}
@@ -137,6 +137,21 @@ def list_metadata(spark, sf_dir):
     return inspect.list_metadata(documents(spark, sf_dir), 7)
 
 
+@_query("list_doc", "SELECT doc_id AS docid, 'doc-00000007' AS ext_id, lang, source FROM documents WHERE doc_id = 7")
+def list_doc(spark, sf_dir):
+    return inspect.list_doc(documents(spark, sf_dir), 7).select("docid", "ext_id", F.col("attrs")["lang"].alias("lang"), F.col("attrs")["source"].alias("source"))
+
+
+@_query("list_external_id", "SELECT doc_id AS docid, 'doc-00000009' AS ext_id FROM documents WHERE doc_id = 9")
+def list_external_id(spark, sf_dir):
+    return inspect.list_external(documents(spark, sf_dir), 9)
+
+
+@_query("termvector_field", f"WITH {_PAGES} SELECT field, term, {_LISTED} FROM kept WHERE docid = 3 AND field = 'title' GROUP BY field, term")
+def termvector_field(spark, sf_dir):
+    return _listed(inspect.list_term_vector(pages(spark, sf_dir), 3, "title"))
+
+
 @_query("list_internal_id", "SELECT doc_id AS docid, 'doc-00000007' AS ext_id FROM documents WHERE doc_id = 7")
 def list_internal_id(spark, sf_dir):
     return inspect.list_internal(documents(spark, sf_dir), "doc-00000007")
@@ -299,10 +314,9 @@ def run_placeholder(spark, sf_dir):
 @_query("run_roundtrip", oracle.ranking({k: v for k, v in BATCH.items() if k != "5"}, k=20, after="SELECT qid, ext_id, score, rank FROM ranked WHERE rank <= 20 UNION ALL SELECT '5', 'Nonexistent_Docid', 0.0, 1"))
 def run_roundtrip(spark, sf_dir):
     found = rank(documents(spark, sf_dir), BATCH, models.BM25(), 20, digits=6)
-    with tempfile.TemporaryDirectory() as folder:  # on the driver alone: a run is written and read there
-        trec.write_run(found, list(BATCH), f"{folder}/run.teIn", 20)
-        rows = trec.read_run(spark, f"{folder}/run.teIn").select("qid", "ext_id", "score", "rank").collect()
-    return spark.createDataFrame(rows, "qid string, ext_id string, score double, rank int")
+    path = f"{scratch(spark)}/run.teIn"
+    trec.write_run(found, list(BATCH), path, 20)
+    return trec.read_run(spark, path).select("qid", "ext_id", "score", "rank")
 
 
 _QRELS = "q AS (SELECT qid, 'doc-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS ext_id, quality AS rel FROM labels, (SELECT DISTINCT qid FROM ranked))"
@@ -376,6 +390,54 @@ def metrics_pivot(spark, sf_dir):
     return _rounded(evaluate.pivot(rows.select("r.run", "metric", "qid", "r.value"), ["a", "b"]), "a", "b")
 
 
+# A written index: its tables sorted by term and by document, and its statistics.
+def _written(spark, sf_dir) -> Index:
+    path = f"{scratch(spark)}/index"
+    documents(spark, sf_dir).write(path)
+    return Index.open(spark, path)
+
+
+@_query("index_reopened", _T + "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS ctf FROM p WHERE term IN ('th', 'er', 'thth') GROUP BY term")
+def index_reopened(spark, sf_dir):
+    """Counted over the posting lists of an opened index, not read from its statistics."""
+    index = _written(spark, sf_dir)
+    lists = [index.posting_list(t).select("term", "tf") for t in ("th", "er", "thth", "absent")]
+    index.close()
+    return reduce(DataFrame.unionByName, lists).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
+
+
+@_query("index_statistics", _T + "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS ctf FROM p WHERE field = 'body' GROUP BY term")
+def index_statistics(spark, sf_dir):
+    return inspect.list_terms(_written(spark, sf_dir), "body")
+
+
+@_query("index_vectors", _T + f"SELECT field, term, {_LISTED} FROM kept WHERE docid = 7 GROUP BY field, term")
+def index_vectors(spark, sf_dir):
+    return _listed(inspect.list_term_vector(_written(spark, sf_dir), 7))
+
+
+@_query("ranked_from_store", oracle.ranking(BATCH, k=20))
+def ranked_from_store(spark, sf_dir):
+    return rank(_written(spark, sf_dir), BATCH, models.BM25(), 20, digits=6)
+
+
+@_query("prf_from_store", _prf_sql("okapi", _SELECTED))
+def prf_from_store(spark, sf_dir):
+    index, f = _written(spark, sf_dir), prf.Feedback("okapi", _DOCS, _TERMS)
+    best = rank(index, PRF_QUERY, models.BM25(), 100, digits=6)
+    return _rounded(prf.select_terms(_rounded(prf.term_scores(index, best, f), "score", digits=9), _TERMS), "score")
+
+
+@_query("rank_repeated_ids", oracle.ranking({"1": "#or(thth thon orre)"}, after="""SELECT '1' AS qid, docid, source AS ext_id, score, CAST(row_number() OVER (ORDER BY score DESC, docid) AS INTEGER) AS rank FROM
+  (SELECT s.docid, source, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, s.docid) AS n FROM scored s JOIN documents d ON d.doc_id = s.docid) WHERE n = 1 ORDER BY score DESC, docid LIMIT 5"""))
+def rank_repeated_ids(spark, sf_dir):
+    """An index whose external ids are the sources."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    corpus = from_documents(table)
+    named = table.select(F.col("doc_id").cast("long").alias("docid"), F.col("source").alias("ext_id")).join(corpus.docs.drop("ext_id"), "docid")
+    return rank(Index.build(Corpus(named, corpus.fields)), {"1": "#or(thth thon orre)"}, models.BM25(), 5, digits=6, repeated_ids=True)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 of a sum of three terms: the ten best documents."""
     return rank(documents(spark, sf_dir), {"1": "#sum(th er ha)"}, models.BM25(), 10)

@@ -6,6 +6,8 @@ docs(docid, ext_id, attrs) and fields(docid, field, text); docid is the order in
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,14 +23,54 @@ class Corpus:
     fields: DataFrame
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a checkpoint in the folder that the cluster names; a folder of our own only in local mode."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only in local mode."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         if named is None and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="rankforge-"))
+    return context.getCheckpointDir()
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one; it goes when the driver ends."""
+    p, fs = _path(spark, f"{shared_folder(spark)}/rankforge-{uuid.uuid4().hex}")
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return p.toString()
+
+
+def write_text(spark: SparkSession, path: str, lines: Iterable[str]) -> None:
+    """One text file in any file system that Spark reaches."""
+    p, fs = _path(spark, path)
+    out = fs.create(p, True)
+    try:
+        block: list[str] = []
+        for line in lines:
+            block.append(f"{line}\n")
+            if len(block) == 10_000:
+                out.write(bytearray("".join(block).encode()))
+                block.clear()
+        out.write(bytearray("".join(block).encode()))
+    finally:
+        out.close()
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df cut from its lineage by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

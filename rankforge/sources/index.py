@@ -3,7 +3,8 @@
 postings(field, term, docid, tf, len_all, positions), doc_len(docid, field, len_all, len_positions, n_indexed) and
 docs(docid, ext_id, attrs). A posting carries its field's length, so scoring joins nothing of the size of the corpus.
 Files are partitioned by field and sorted by term: a query reads the row groups of its terms, and positions only if
-an operator needs them.
+an operator needs them. A written index has two more tables: the same postings sorted by document (vectors), of which
+feedback and inspection read the row groups of their documents, and the terms' statistics (terms).
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankforge.functions.analysis import Analyzer
-from rankforge.sources.corpus import Corpus
+from rankforge.sources.corpus import Corpus, delete
 
 
 @dataclass(frozen=True)
@@ -38,12 +39,18 @@ class Index:
     doc_len: DataFrame
     postings: DataFrame
     analyzer: Analyzer = field(default_factory=Analyzer)
+    vectors: DataFrame | None = None  # postings by document
+    terms: DataFrame | None = None  # (field, term, df, ctf)
+    words: DataFrame | None = None  # what an index is built of
 
     @staticmethod
     def build(corpus: Corpus, analyzer: Analyzer | None = None) -> Index:
         """Lazy: a query over a built index reads only what it filters."""
         a = analyzer or Analyzer()
-        words = corpus.fields.select("docid", "field", a.words(F.col("text")).alias("words"))
+        return Index._of(corpus.docs, corpus.fields.select("docid", "field", a.words(F.col("text")).alias("words")), a)
+
+    @staticmethod
+    def _of(docs: DataFrame, words: DataFrame, a: Analyzer) -> Index:
         kept = F.filter(F.transform("words", lambda w, i: F.when(a.kept(w), i)), lambda i: i.isNotNull())
         lengths = words.select("docid", "field", F.size("words").alias("len_all"), kept.alias("kept"))
         doc_len = lengths.select("docid", "field", "len_all", F.coalesce(F.element_at("kept", F.when(F.size("kept") > 0, -1).otherwise(None)) + 1, F.lit(0)).alias("len_positions"), F.size("kept").alias("n_indexed"))
@@ -51,24 +58,40 @@ class Index:
         # A document's tokens stand in one partition, so the partial aggregate makes them postings before the shuffle.
         grouped = tokens.groupBy("field", a.term(F.col("word")).alias("term"), "docid", "len_all").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
         postings = grouped.select("field", "term", "docid", F.size("positions").alias("tf"), "len_all", "positions")
-        return Index(corpus.docs, doc_len, postings, a)
+        return Index(docs, doc_len, postings, a, words=words)
 
     def write(self, path: str) -> None:
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        self.doc_len.write.mode("overwrite").partitionBy("field").parquet(f"{path}/doc_len")
-        ranged = self.postings.repartitionByRange("field", "term", "docid").sortWithinPartitions("field", "term", "docid")
-        ranged.write.mode("overwrite").partitionBy("field").option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
+        """Texts are split into words once, and words gathered into postings once; every table is made of these."""
+        spark, parts = self.docs.sparkSession, f"{path}/_parts"
+
+        def kept(df: DataFrame, name: str) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{parts}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{parts}/{name}")
+
+        def stored(df: DataFrame, name: str, *order: str) -> None:
+            ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+            ranged.write.mode("overwrite").partitionBy("field").option("parquet.block.size", 16 << 20).parquet(f"{path}/{name}")
+
+        own = Index._of(self.docs, kept(self.words, "words"), self.analyzer) if self.words is not None else self
+        own.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        own.doc_len.write.mode("overwrite").partitionBy("field").parquet(f"{path}/doc_len")
+        postings = kept(own.postings, "postings")
+        stored(postings, "postings", "field", "term", "docid")
+        stored(postings, "vectors", "field", "docid", "term")
+        stored(postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf")), "terms", "field", "term")
+        delete(spark, parts)
 
     @staticmethod
     def open(spark: SparkSession, path: str, analyzer: Analyzer | None = None) -> Index:
         """Fails if there is no index at the path."""
-        docs, doc_len, postings = (spark.read.parquet(f"{path}/{t}") for t in ("docs", "doc_len", "postings"))
+        docs, doc_len, postings, vectors, terms = (spark.read.parquet(f"{path}/{t}") for t in ("docs", "doc_len", "postings", "vectors", "terms"))
         order = ["field", "term", "docid", "tf", "len_all", "positions"]
-        return Index(docs, doc_len, postings.select(*order), analyzer or Analyzer())
+        return Index(docs, doc_len, postings.select(*order), analyzer or Analyzer(), vectors.select(*order), terms.select("field", "term", "df", "ctf"))
 
     def close(self) -> None:
-        for t in (self.docs, self.doc_len, self.postings):
-            t.unpersist()
+        for t in (self.docs, self.doc_len, self.postings, self.vectors, self.terms):
+            if t is not None:
+                t.unpersist()
 
     # Statistics of the corpus: a few numbers for each of five fields.
     @cached_property
@@ -90,6 +113,8 @@ class Index:
 
     def term_stats(self) -> DataFrame:
         """(field, term, df, ctf)."""
+        if self.terms is not None:
+            return self.terms
         return self.postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
 
     def doc_count(self, field: str) -> int:
@@ -98,11 +123,15 @@ class Index:
     def sum_of_field_lengths(self, field: str) -> int:
         return self.stats(field).total
 
+    def _frequencies(self, field: str, term: str) -> tuple[int, int]:
+        row = self.term_stats().where((F.col("field") == field) & (F.col("term") == term)).select("df", "ctf").first()
+        return (row[0], row[1]) if row else (0, 0)
+
     def doc_freq(self, field: str, term: str) -> int:
-        return self.posting_list(term, field).count()
+        return self._frequencies(field, term)[0]
 
     def total_term_freq(self, field: str, term: str) -> int:
-        return self.posting_list(term, field).agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+        return self._frequencies(field, term)[1]
 
     def field_length(self, field: str, docid: int) -> int:
         """Length with stopwords; 0 if the document lacks the field."""
@@ -115,7 +144,8 @@ class Index:
     def term_vector(self, docid: int, field: str | None = None) -> DataFrame:
         """Postings of one document, by term: the forward index."""
         own = F.col("docid") == docid
-        return self.postings.where(own if field is None else own & (F.col("field") == field)).orderBy("field", "term")
+        rows = self.postings if self.vectors is None else self.vectors
+        return rows.where(own if field is None else own & (F.col("field") == field)).orderBy("field", "term")
 
     def attribute(self, name: str, docid: int) -> str | None:
         row = self._one(F.col("docid") == docid)

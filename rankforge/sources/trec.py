@@ -5,11 +5,11 @@ Readers are DataFrames over the lines; order in a file is kept by number. Writer
 
 from __future__ import annotations
 
-import gzip
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankforge.sources.corpus import write_text
+
 # Fixed values of the run format.
 RUN_ID = "reference"
 NO_DOCUMENT = "Nonexistent_Docid"
@@ -73,20 +73,15 @@ def run_lines(ranking: DataFrame, qids: list[str], length: int, run_id: str = RU
     return found.unionByName(empty).select("place", "rank", line.alias("line"))
 
 
-def write_lines(lines: list[str], path: str) -> None:
-    with open(path, "w", encoding="utf-8", newline="\n") as f:
-        f.writelines(f"{x}\n" for x in lines)
-
-
 def write_run(ranking: DataFrame, qids: list[str], path: str, length: int, run_id: str = RUN_ID) -> None:
     """One file for evaluators; its rows are queries x length at most."""
     rows = run_lines(ranking, qids, length, run_id).orderBy("place", "rank")
-    write_lines([r.line for r in rows.toLocalIterator()], path)
+    write_text(ranking.sparkSession, path, (r.line for r in rows.toLocalIterator()))
 
 
-def write_expansion(learned: dict[str, str], path: str) -> None:
+def write_expansion(spark: SparkSession, learned: dict[str, str], path: str) -> None:
     """qid: learned query by line."""
-    write_lines([f"{qid}: {q}" for qid, q in learned.items()], path)
+    write_text(spark, path, (f"{qid}: {q}" for qid, q in learned.items()))
 
 
 def read_metrics(spark: SparkSession, path: str, run: str) -> DataFrame:
@@ -97,18 +92,23 @@ def read_metrics(spark: SparkSession, path: str, run: str) -> DataFrame:
     return rows.select(F.lit(run).alias("run"), F.col("p")[0].alias("metric"), F.when(three, F.col("p")[1]).otherwise(F.lit("all")).alias("qid"), F.element_at("p", -1).alias("value"))
 
 
+def _zipped_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, n): a gzipped file is one partition, whose rows are numbered from 0 in order."""
+    return spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("n"))
+
+
 def read_length_cache(spark: SparkSession, path: str) -> DataFrame:
     """(docid, field, len_all) of a gzipped length cache: field names, corpus size, a row of lengths by document."""
-    with gzip.open(path, "rt", encoding="utf-8") as f:
-        names, size = f.readline().strip().split(","), int(f.readline())
-        rows = [(k, n, int(v)) for k, line in enumerate(f) for n, v in zip(names, line.strip().split(","))]
-    if len(rows) != size * len(names):
-        raise ValueError(f"{path}: {size} documents are announced, {len(rows) // len(names)} are there")
-    return spark.createDataFrame(rows, "docid long, field string, len_all int")
+    lines = _zipped_lines(spark, path)
+    names, size = (r.line for r in lines.where("n < 2").orderBy("n").collect())
+    rows = lines.where("n > 1 and trim(line) <> ''")
+    if (there := rows.count()) != int(size):
+        raise ValueError(f"{path}: {size} documents are announced, {there} are there")
+    fields = F.array(*map(F.lit, names.strip().split(",")))
+    lengths = rows.select((F.col("n") - 2).alias("docid"), F.explode(F.arrays_zip(fields.alias("f"), F.split(F.trim("line"), ",").alias("v"))).alias("x"))
+    return lengths.select("docid", F.col("x.f").alias("field"), F.col("x.v").cast("int").alias("len_all"))
 
 
 def read_id_cache(spark: SparkSession, path: str) -> DataFrame:
     """(docid, ext_id) of a gzipped id cache: a header, then an external id by line."""
-    with gzip.open(path, "rt", encoding="utf-8") as f:
-        f.readline()
-        return spark.createDataFrame([(k, line.rstrip("\n")) for k, line in enumerate(f)], "docid long, ext_id string")
+    return _zipped_lines(spark, path).where("n > 0").select((F.col("n") - 1).alias("docid"), F.col("line").alias("ext_id"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rankforge.functions.analysis import Analyzer
@@ -29,4 +30,5 @@ def open_segments(spark: SparkSession, path: str, numbers: list[int], analyzer:
     """One index over segments: documents are disjoint, so tables are unions and statistics follow."""
     parts = [Index.open(spark, f"{path}/segment={n}", analyzer) for n in numbers]
     union = lambda tables: reduce(DataFrame.unionByName, tables)
-    return Index(union([p.docs for p in parts]), union([p.doc_len for p in parts]), union([p.postings for p in parts]), analyzer or Analyzer())
+    terms = union([p.terms for p in parts]).groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf"))
+    return Index(*(union([getattr(p, t) for p in parts]) for t in ("docs", "doc_len", "postings")), analyzer or Analyzer(), union([p.vectors for p in parts]), terms)
