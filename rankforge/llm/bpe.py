@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 from array import array
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -44,24 +45,29 @@ def _ranges(codes: set[int]) -> str:
     return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(starts, ends))
 
 
+@cache
 def unicode_rules() -> tuple[str, dict[int, str]]:
     """The pattern of words for all texts, and lower case where it isn't Python's, by the library's version of Unicode.
 
-    Letters, numbers and white space are asked of the library's own expressions, one code point after another.
+    Letters, numbers and white space are asked of the library's own expressions, one block of code points after another.
     """
-    codes = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
-    everything = "".join(codes)
-    classes = []
-    for name in (r"\p{L}", r"\p{N}", r"\s"):
-        rest = pre_tokenizers.Split(Regex(name), "removed").pre_tokenize_str(everything)
-        theirs = set(map(ord, codes)) - {ord(c) for piece, _ in rest for c in piece}
-        ours = {ord(c) for c in regex.findall(name, everything)}
-        more, less = _ranges(theirs - ours), _ranges(ours - theirs)
-        classes.append(f"[[{name}{more}]--[{less}]]" if less else f"[{name}{more}]")
-    lower = normalizers.Lowercase()
-    other = {ord(c): low for c in codes if (low := lower.normalize_str(c)) != c.lower()}
-    letter, number, space = classes
-    return rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|[^{space}{letter}{number}]+", other | {0x3A3: "\u03c3"}
+    names = (r"\p{L}", r"\p{N}", r"\s")
+    ask = [pre_tokenizers.Split(Regex(name), "removed") for name in names]
+    more, less = ([set() for _ in names] for _ in range(2))
+    lower, other = normalizers.Lowercase(), {0x3A3: "\u03c3"}
+    for block in range(0, 0x110000, 0x800):
+        if 0xD800 <= block <= 0xDFFF:
+            continue
+        codes = set(range(block, block + 0x800))
+        text = "".join(map(chr, sorted(codes)))
+        for name, split, add, drop in zip(names, ask, more, less):
+            theirs = codes.difference(ord(c) for piece, _ in split.pre_tokenize_str(text) for c in piece)
+            ours = set(map(ord, regex.findall(name, text)))
+            add |= theirs - ours
+            drop |= ours - theirs
+        other |= {ord(c): low for c in text if c != "\u03a3" and (low := lower.normalize_str(c)) != c.lower()}
+    letter, number, space = (f"[[{n}{_ranges(m)}]--[{_ranges(d)}]]" if d else f"[{n}{_ranges(m)}]" for n, m, d in zip(names, more, less))
+    return rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|[^{space}{letter}{number}]+", other
 
 
 def byte_symbols() -> list[str]:
