@@ -470,6 +470,18 @@ def test_chains_against_brute_force():
         assert got == pytest.approx(best)
 
 
+def test_seeds_are_the_smallest_of_windows():
+    rng = np.random.default_rng(12)
+    for n in range(1, 40):
+        for window in (1, 2, 4, 12):
+            keys = rng.integers(0, 8 if n % 2 else 1 << 40, n).astype(np.uint64)
+            w = min(window, n)
+            views = [range(k, k + w) for k in range(n - w + 1)]
+            expected = {i for v in views for i in v if keys[i] == min(keys[j] for j in v)}
+            assert set(np.flatnonzero(passages.lowest(keys, window)).tolist()) == expected
+            assert passages.extremes(keys, window).tolist() == [min(keys[j] for j in v) for v in views]
+
+
 def test_common_subsequence():
     rng = random.Random(10)
     for _ in range(100):
