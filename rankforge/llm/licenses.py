@@ -58,7 +58,8 @@ class Scanner:
         if not there:
             return len(words), [], []
         gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-        at = lambda m: (int(np.searchsorted(gaps, m.start())), int(np.searchsorted(gaps, m.end())) + 1)
+        # A rule's group, if it has one, is what it detects.
+        at = lambda m: tuple(int(np.searchsorted(gaps, x)) + k for k, x in enumerate(m.span(m.re.groups)))
         base = [(*at(m), label) for key, p, (_, label) in zip(self.base_keys, self.base, BASE) if key in there for m in p.finditer(joined)]
         raw = []
         for (label, rank, confidence, _, _), need, p in zip(self.rules, self.needs, self.patterns):
