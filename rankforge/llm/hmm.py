@@ -3,9 +3,9 @@
 Tokens are a text's words (A-Z lower-cased, split at ASCII white space) and one end. Token counts over all training
 documents give the base model. The hidden Markov model emits SYMBOLS symbols: the end, the most frequent words, and
 one symbol for all other words; which other word it is follows from its count. Baum-Welch runs over all training
-tokens, in segments of at most SEGMENT tokens side by side: every task sends its expected counts as rows by
-symbol, they are summed in Spark, and the driver gets SYMBOLS x STATES sums, whatever the input. Scores are exact:
-the scaled forward recursion over the whole text.
+tokens, whole texts side by side (those of over LONG tokens wait for others of their task): every task sends its
+expected counts as rows by symbol, they are summed in Spark, and the driver gets SYMBOLS x STATES sums, whatever the
+input. Scores are exact: the scaled forward recursion over the whole text.
 
 Up to HEAD of the most frequent words of at most LONGEST bytes are looked up in the tasks (that bounds the table);
 all others are joined with the counts, each distinct word of a document once.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from rankforge.llm.common import Stage, read
 
-STATES, SYMBOLS, HEAD, LONGEST, SEGMENT, ROUNDS, KAPPA = 8, 1 << 14, 1 << 17, 64, 512, 3, 50.0
+STATES, SYMBOLS, HEAD, LONGEST, LONG, ROUNDS, KAPPA = 8, 1 << 14, 1 << 17, 64, 1024, 3, 50.0
 #: Probability with which a state stays as it is, at first.
 STAY = 0.97
 #: Tokens that run side by side in a task, and distinct words that a task holds before it sends their counts.
@@ -205,6 +206,20 @@ def side_by_side(lines: list[np.ndarray]):
         yield np.array(group)
 
 
+def alike(lines: Iterable[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Lines in lots of about SIDE_BY_SIDE symbols, long ones with long ones: a lot takes as many steps as its longest line."""
+    lots, held = ([], []), [0, 0]
+    for x in lines:
+        kind = int(len(x) > LONG)
+        lots[kind].append(x)
+        held[kind] += len(x)
+        if held[kind] >= SIDE_BY_SIDE:
+            yield lots[kind].copy()
+            lots[kind].clear()
+            held[kind] = 0
+    yield from filter(None, lots)
+
+
 def layout(lines: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
     """Lines, longest first, as all first symbols, then all second ones, and so on; and how many lines reach each step."""
     lengths = np.array([len(x) for x in lines])
@@ -214,10 +229,6 @@ def layout(lines: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
     return np.concatenate(lines)[order].astype(np.int64), np.bincount(step).tolist()
 
 
-def segments(ids: np.ndarray, size: int = SEGMENT) -> list[np.ndarray]:
-    return [ids[at : at + size] for at in range(0, len(ids), size)]
-
-
 def encode(docs: DataFrame, lex: Lexicon, id_col: str, text_col: str) -> DataFrame:
     """A row for each row of docs: its symbols (two bytes each), sums over the words of the lexicon, and the others."""
     sent = docs.sparkSession.sparkContext.broadcast(lex)
@@ -260,14 +271,12 @@ def train(coded: DataFrame, unigram: np.ndarray, states: int = STATES, rounds: i
 
         def run(batches, sent=sent):
             total, symbols = None, 0
-            for b in batches:
-                lines = [x for v in b.column(0) for x in segments(np.frombuffer(v.as_py(), "<u2"))]
-                if lines:
-                    got, symbols = sent.value.expect(lines), symbols + sum(map(len, lines))
-                    if total is None:
-                        total = got
-                    else:
-                        total = Counts(total.start + got.start, total.move + got.move, total.emit + got.emit, total.log_p + got.log_p)
+            for lines in alike(np.frombuffer(v.as_py(), "<u2") for b in batches for v in b.column(0)):
+                got, symbols = sent.value.expect(lines), symbols + sum(map(len, lines))
+                if total is None:
+                    total = got
+                else:
+                    total = Counts(total.start + got.start, total.move + got.move, total.emit + got.emit, total.log_p + got.log_p)
             if total is None:
                 return
             at = np.flatnonzero(total.emit.sum(1) > 0)

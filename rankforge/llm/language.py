@@ -3,8 +3,8 @@
 Training: character trigram counts by language over all labelled training texts, hashed into BUCKETS numbers, give
 one distribution for each language. Prediction: a text is a mixture of languages; expectation-maximisation finds
 the proportions that make its trigrams likeliest. The set of languages is chosen by penalised likelihood (half a
-log of the number of trigrams for each language beyond the first, and PRICE nats for each), over nested sets made
-of the languages with the largest proportions. The largest proportion of the chosen set gives the prediction.
+log of the number of trigrams for each language beyond the first, and PRICE nats for each), over nested sets of any size
+made of the languages with the largest proportions. The largest proportion of the chosen set gives the prediction.
 
 Trigrams are made of letters (other characters become one blank), in lower case; a word has a blank at both ends.
 
@@ -28,8 +28,8 @@ from rankforge.llm.common import read
 BUCKETS, SMOOTH, ROUNDS, PRICE, MAX_LANGUAGES = 1 << 14, 0.5, 12, 3.0, 500
 UNKNOWN = "und"
 FOLDS = 5
-#: What the likelihood of all languages may still gain beyond ROUNDS.
-SLACK = 1.0
+#: How far from the largest likelihood, in nats, a fit may end.
+GAP = 1.0
 
 # Letters by code point, built once in each worker.
 _LETTER: list[np.ndarray] = []
@@ -100,7 +100,7 @@ class Model:
         value = single[np.arange(len(rows)), best]
         # No set beats the likelihood of all languages together: where that is too little for a second one, one stays.
         price = 0.5 * np.log(n) + PRICE
-        open_ = np.flatnonzero(most + SLACK - price > value)
+        open_ = np.flatnonzero(most + GAP - price > value)
         if len(open_):
             own = np.isin(doc, open_)
             p, c, n, price, theta = p[own], c[own], n[open_], price[open_], theta[open_]
@@ -109,7 +109,7 @@ class Model:
             order = np.argsort(-theta, axis=1, kind="stable")
             for size in range(2, len(self.names) + 1):
                 # Nor does a set of this size or a larger one, where the same bound is too little for any text.
-                if not (most[open_] + SLACK - (size - 1) * price > value[open_]).any():
+                if not (most[open_] + GAP - (size - 1) * price > value[open_]).any():
                     break
                 if size == len(self.names):
                     fit, likelihood = theta, most[open_]
@@ -128,12 +128,30 @@ class Model:
 
     @staticmethod
     def _fit(theta, p, c, n, doc, starts):
-        """Proportions after ROUNDS of expectation-maximisation from theta (zeros stay), and their log-likelihoods."""
-        for _ in range(ROUNDS):
-            share = p * theta[doc]
-            share *= (c / share.sum(1))[:, None]
-            theta = np.add.reduceat(share, starts, axis=0) / n[:, None]
-        return theta, np.add.reduceat(np.log((p * theta[doc]).sum(1)) * c, starts)
+        """Proportions by expectation-maximisation from theta (zeros stay), and their log-likelihoods, within GAP of the largest one.
+
+        With g the gradient, no proportions over the same languages reach more than n log(max g / n) beyond the
+        likelihood here (Jensen). Texts that are further from it go on.
+        """
+        theta, most, live = theta.copy(), np.zeros(len(theta)), np.arange(len(theta))
+        there = theta > 0
+        while len(live):
+            own = theta[live]
+            for _ in range(ROUNDS):
+                share = p * own[doc]
+                share *= (c / share.sum(1))[:, None]
+                own = np.add.reduceat(share, starts, axis=0) / n[:, None]
+            mixed = (p * own[doc]).sum(1)
+            theta[live], most[live] = own, np.add.reduceat(np.log(mixed) * c, starts)
+            slope = np.where(there[live], np.add.reduceat(p * (c / mixed)[:, None], starts, axis=0), 0.0).max(1)
+            on = n * np.log(slope / n) > GAP
+            if not on.any():
+                break
+            rows = on[doc]
+            sizes = np.diff(np.append(starts, len(doc)))[on]
+            live, n, p, c = live[on], n[on], p[rows], c[rows]
+            starts, doc = np.cumsum([0, *sizes[:-1]]), np.repeat(np.arange(len(live)), sizes)
+        return theta, most
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:

@@ -189,6 +189,54 @@ def test_training_makes_texts_likelier(spark):
     assert held and sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
 
 
+def test_training_takes_whole_texts_and_scores_follow(spark):
+    rng = random.Random(17)
+    rows = [(k, " ".join(rng.choice("abcdefg" if k % 2 else "efghijk") for _ in range(rng.choice([3, 40, 2500])))) for k in range(40)]
+    got = {r.id: r for r in hmm.score(docs(spark, rows), symbols=8, head=100, states=3, rounds=2).collect()}
+    # The same by hand: one line after another, plain counts, words beyond the six most frequent by their share of the rest.
+    held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k, _ in rows}
+    counts = Counter(w for k, t in rows if not held[k] for w in [*t.split(), ""])
+    ranked = sorted((w for w in counts if w), key=lambda w: (-counts[w], w))[:6]
+    symbol = {w: k + 2 for k, w in enumerate(ranked)} | {"": 0}
+    total, other = sum(counts.values()), [w for w in counts if w not in symbol]
+    own = np.array([counts[""], sum(counts[w] for w in other), *(counts[w] for w in ranked)], float)
+    unigram = (own + 1) / (total + 8)
+    line = lambda t: [symbol.get(w, 1) for w in [*t.split(), ""]]
+    m = hmm.Model.first(unigram, 3)
+    for _ in range(2):
+        start, move, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((8, 3))
+        for k, t in rows:
+            if held[k]:
+                continue
+            x = line(t)
+            alpha, beta = [m.start * m.emit[x[0]]], [np.ones(3)]
+            alpha[0] /= alpha[0].sum()
+            for s in x[1:]:
+                a = alpha[-1] @ m.move * m.emit[s]
+                alpha.append(a / a.sum())
+            for s in reversed(x[1:]):
+                b = m.move @ (m.emit[s] * beta[-1])
+                beta.append(b / b.sum())
+            beta.reverse()
+            gamma = [a * b / (a * b).sum() for a, b in zip(alpha, beta)]
+            start += gamma[0]
+            for g, s in zip(gamma, x):
+                emit[s] += g
+            for a, b, s in zip(alpha, beta[1:], x[1:]):
+                e = a[:, None] * m.move * (m.emit[s] * b)
+                move += e / e.sum()
+        m = m.update(hmm.Counts(start, move, emit, 0.0), unigram)
+    rest = sum(counts[w] for w in other)
+    for k, t in rows:
+        inner = sum(math.log10((counts[w] + 1) / (rest + len(other) + 1)) for w in t.split() if w not in symbol)
+        alpha, log_p = m.start, 0.0
+        for at, x in enumerate(line(t)):
+            alpha = (alpha @ m.move if at else alpha) * m.emit[x]
+            log_p += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+        assert got[k].score == pytest.approx(log_p + inner, rel=1e-6), k
+
+
 def test_odd_rows_of_language_models(spark):
     got = hmm.score(docs(spark, ODD).withColumn("score", F.lit(1)).withColumn("ids", F.lit(2)), rounds=1).collect()
     assert len(got) == len(ODD) and all(math.isfinite(r.score) for r in got)

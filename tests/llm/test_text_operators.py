@@ -1,10 +1,12 @@
 """Operators on single texts: licences, tokens, secrets, language, fingerprints, each against brute force or a library."""
 
 import hashlib
+import math
 import random
 import re
 import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
@@ -257,6 +259,34 @@ def test_a_text_in_six_languages_has_all_of_them(spark):
     assert {k for k, v in got[1000].shares.items() if v > 0.05} == set(tongues)
 
 
+def test_mixtures_against_long_runs_of_plain_expectation_maximisation():
+    rng, gen = random.Random(18), np.random.default_rng(18)
+    counts = gen.poisson(0.4, (5, language.BUCKETS)) + gen.poisson(1.0, language.BUCKETS)
+    model = language.Model(list("abcde"), counts)
+    texts = [speech(rng, rng.choice(["aeioulmn", "aeixyz", "дежз"]), rng.choice([1, 5, 60, 4000])) for _ in range(40)]
+    for text, (pred, score, shares) in zip(texts, model.infer(texts)):
+        at, c = np.unique(language.trigrams(text), return_counts=True)
+        p, n = model.p[at], c.sum()
+
+        def fit(own):
+            theta = own / own.sum()
+            for _ in range(3000):
+                share = p * theta
+                theta = (share * (c / share.sum(1))[:, None]).sum(0) / n
+            return theta, float((np.log((p * theta).sum(1)) * c).sum())
+
+        theta, _ = fit(np.ones(5))
+        order, price = np.argsort(-theta, kind="stable"), 0.5 * math.log(n) + language.PRICE
+        values = {1: max(float((np.log(p[:, k]) * c).sum()) for k in range(5))}
+        for size in range(2, 6):
+            own = np.zeros(5)
+            own[order[:size]] = 1.0
+            values[size] = fit(own)[1] - (size - 1) * price
+        # The set that was chosen is as good as the best one, but for what fits may lack.
+        got = float((np.log((p * [shares.get(x, 0.0) for x in "abcde"]).sum(1) + 1e-300) * c).sum()) - (len(shares) - 1) * price
+        assert got >= max(values.values()) - language.GAP - 0.1 and pred == max(shares, key=shares.get) and 0 < score <= 1
+
+
 def test_nothing_to_learn_from(spark):
     rows = [(k, "some text", None, "s") for k in range(5)]
     assert {(r.lang_pred, r.score) for r in language.identify(docs(spark, rows)).collect()} == {("und", 0.0)}
