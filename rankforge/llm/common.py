@@ -67,7 +67,8 @@ class Stage:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}-{len(self.paths)}"
         # What was shuffled for a table is of no use once it stands; without this it stays until the driver collects garbage.
-        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        # Batches of Python tasks are cut by size, since rows may hold long texts.
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), setting(self.spark, "spark.sql.execution.arrow.maxBytesPerBatch", "8m"):
             df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         p, fs = self._path(path)
