@@ -53,11 +53,22 @@ def setting(spark: SparkSession, key: str, value: str):
 class Stage:
     """Tables written in the shared folder: an executor's loss costs no recomputation beyond the running job.
 
-    Tables are removed when dropped, and at the latest when the driver ends.
+    Tables are removed when dropped or swept, and at the latest when the driver ends.
     """
 
+    made: list[Stage] = []
+
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.paths = spark, f"{shared_dir(spark)}/rankforge-{uuid.uuid4().hex}", {}
+        Stage.made.append(self)
+
+    @staticmethod
+    def sweep(since: int) -> None:
+        """Remove all tables of the stages made since so many there were: what was read of them has been written elsewhere."""
+        for stage in Stage.made[since:]:
+            p, fs = stage._path(stage.base)
+            fs.delete(p, True)
+        del Stage.made[since:]
 
     def _path(self, path: str):
         jvm = self.spark.sparkContext._jvm
