@@ -20,6 +20,8 @@ from rankforge.sources.index import Index
 
 #: Up to so many distinct terms are a filter that reaches the files; more are a broadcast join.
 FILTER_TERMS = 1000
+#: Up to so many nodes (a few MB) are broadcast.
+BROADCAST_NODES = 100_000
 
 
 @dataclass
@@ -66,7 +68,13 @@ class _Batch:
         return self.entries[e.parent].node.op if e.parent >= 0 else None
 
     def table(self, rows: list[tuple], schema: str) -> DataFrame:
-        return F.broadcast(self.index.docs.sparkSession.createDataFrame(rows, schema))
+        """Something of the queries' nodes; broadcast unless the batch is a very large one."""
+        made = self.index.docs.sparkSession.createDataFrame(rows, schema)
+        return F.broadcast(made) if len(rows) <= BROADCAST_NODES else made
+
+    @staticmethod
+    def _small(df: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(df) if rows <= BROADCAST_NODES else df
 
     @staticmethod
     def _of_terms(rows: DataFrame, terms: list[_Entry]) -> DataFrame:
@@ -137,7 +145,7 @@ class _Batch:
             if known:
                 nodes = self.table([(e.node.field, e.node.term, e.id) for e in known], "field string, term string, node int")
                 parts.append(self._of_terms(self.index.terms, known).join(nodes, ["field", "term"]).select("node", "df"))
-            rows, num_docs = rows.join(F.broadcast(reduce(DataFrame.unionByName, parts)), "node"), self.index.num_docs
+            rows, num_docs = rows.join(self._small(reduce(DataFrame.unionByName, parts), len(own)), "node"), self.index.num_docs
         else:
             rows, num_docs = rows.withColumn("df", F.lit(0)), 0
         score = model.score(F.col("tf"), F.col("df"), F.col("len_all"), F.col("average"), num_docs)
