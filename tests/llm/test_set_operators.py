@@ -518,6 +518,20 @@ def test_chains_against_brute_force():
         assert got == pytest.approx(best)
 
 
+def test_word_hashes_tell_words_apart_wherever_they_stand():
+    rng = random.Random(19)
+    seen: dict[bytes, int] = {}
+    for n in (0, 1, 3, 400, 60_000):
+        words = ["".join(rng.choice("abAB\u00e9\U0001f44d1") for _ in range(rng.choice([1, 2, 3, 9, 40]))) for _ in range(n)]
+        text = "".join(rng.choice(" \t\n\r\x0b\x0c") * rng.randint(1, 3) + w for w in words) + " "
+        hashes = passages.word_hashes(text).tolist()
+        plain = text.encode().lower().split()
+        assert len(hashes) == len(plain)
+        for w, h in zip(plain, hashes):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen) > 10_000 and len(passages.word_hashes(None)) == 0
+
+
 def test_seeds_are_the_smallest_of_windows():
     rng = np.random.default_rng(12)
     for n in range(1, 40):
