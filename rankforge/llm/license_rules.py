@@ -61,7 +61,7 @@ isc | permission to use copy modify | permission to use copy modify and or distr
 isc | with or without fee is hereby granted | with or without fee is hereby granted provided that the above copyright notice
 isc | resulting from loss of use | damages whatsoever resulting from loss of use data or profits
 isc | under the isc license | (?:released|distributed|licensed|available) under the isc license
-0bsd | permission to use copy modify | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted (?!provided)
+0bsd | permission to use copy modify | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted(?! provided)
 hpnd | appear in all copies | that the above copyright notice appear in all copies and that both that copyright notice
 hpnd | makes no representations | makes no representations about the suitability of this software
 hpnd | without specific written prior permission | without specific written prior permission
