@@ -3,8 +3,9 @@
 Texts with equal sets are one class. Pairs of classes come from three places, and every one is verified by whole sets:
 the links of their SimHash fingerprints (tiled exact comparison, see simhash), which join most copies; then a prefix filter,
 which misses none. For it shingles have one order for all classes, seldom ones first; two sets of similarity t or more
-share a shingle among the first n - ceil(t n) + 1 of each, whatever the order is. The order comes from hashed counts of a
-sample of about SAMPLE documents, which decides only how many pairs meet.
+share a shingle among the first n - ceil(t n) + 1 of each, whatever the order is. The order comes from the counts of all
+shingles of all documents: their keys go, packed, to the bucket that counts them, and those that stand in several
+documents come back to theirs. A shingle of one document meets nothing, so only its number in a set is needed.
 
 Each class meets the smallest one that holds its shingle, so a large group of near copies costs a row for each prefix,
 not one for each pair. Then the classes of a shingle that are still in different components meet each other,
@@ -15,6 +16,7 @@ they share if it is the first one.
 
 from __future__ import annotations
 
+import uuid
 from fractions import Fraction
 
 import numpy as np
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from rankforge.llm.common import Stage, components
 
-#: Hashed counters of shingles, and about how many documents are counted.
-COUNTERS, SAMPLE = 1 << 20, 1 << 14
+#: Characters of text for each bucket that counts shingles, documents packed together at most.
+BUCKET, PACK = 1 << 23, 2048
 BITS = 256
 _ODD = [f"odd{k}" for k in range(BITS // 64)]
 
@@ -38,37 +40,48 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, shingle))
 
 
-def prefix(s: np.ndarray, counts: np.ndarray, similarity: Fraction) -> np.ndarray:
-    """The seldom shingles of a set, one of which each set alike holds among its own."""
-    n = len(s)
-    length = n + int(-similarity * n // 1) + 1 if n else 0
-    return s[np.lexsort((s, counts[s & np.uint64(COUNTERS - 1)]))[:length]].view(np.int64)
+def keys_of(s: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket that counts each shingle and its key there; the order needs no more of a hash than these."""
+    return ((s >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int32), s.astype(np.uint32)
 
 
-def parities(s: np.ndarray) -> np.ndarray:
-    """Whether a set's shingles are odd in number, for each of BITS parts, as signed longs."""
-    odd = np.bincount((s >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def packed(sets: list[np.ndarray], n_buckets: int) -> list[tuple[int, bytes, bytes]]:
+    """(bucket, owners, keys) of each bucket that gets shingles of the sets; owners are steps, in one or in two bytes each."""
+    owner = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    bucket, key = keys_of(np.concatenate([np.empty(0, np.uint64), *sets]), n_buckets)
+    order = np.argsort(bucket, kind="stable")
+    owner, bucket, key = owner[order], bucket[order], key[order]
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    out = []
+    for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]):
+        steps = np.diff(owner[i:j], prepend=0)
+        out.append((int(bucket[i]), steps.astype(np.uint8 if steps.max() < 256 else np.uint16).tobytes(), key[i:j].tobytes()))
+    return out
 
 
-def shingle_counts(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Hashed counts of shingles in a sample of docs(id, text)."""
+def unpacked(owners: bytes, n: int) -> np.ndarray:
+    """The owners of n keys."""
+    return np.cumsum(np.frombuffer(owners, np.uint8 if len(owners) == n else np.uint16), dtype=np.int64)
+
+
+def prefixes(sizes: np.ndarray, owner: np.ndarray, key: np.ndarray, count: np.ndarray, similarity: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, place, key) of the shared shingles in the prefixes of sets of these sizes, by owner and place.
+
+    Given are all shingles that several documents hold; the others of a set come first, whichever they are.
+    """
+    t, u = similarity.numerator, similarity.denominator
+    order = np.lexsort((key, count, owner))
+    owner, key = owner[order], key[order]
+    shared = np.bincount(owner, minlength=len(sizes))
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(shared) - shared, shared) + (sizes - shared)[owner]
+    there = at < (sizes - -(-t * sizes // u) + 1)[owner]
+    return owner[there], at[there], key[there]
 
-    def run(batches):
-        counts = np.zeros(COUNTERS, np.int64)
-        for b in batches:
-            for t in b.column(0):
-                at = np.unique(shingle_set(t.as_py(), shingle) & np.uint64(COUNTERS - 1)).astype(np.int64)
-                counts[at] += 1
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["at", "n"])
 
-    one_in = max(1, docs.count() // SAMPLE)
-    some = docs.where(F.pmod(F.xxhash64("id", "text"), F.lit(one_in)) == 0).select("text")
-    table = some.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").cast("int").alias("n")).toArrow()
-    counts = np.zeros(COUNTERS, np.int32)
-    counts[table.column("at").to_numpy()] = table.column("n").to_numpy()
-    return counts
+def parities(s: np.ndarray) -> np.ndarray:
+    """Whether a set's shingles are odd in number, for each of BITS parts, as signed longs."""
+    odd = np.bincount((s >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def verified(stage: Stage, pairs: DataFrame, sets: DataFrame, similarity: Fraction, name: str) -> DataFrame:
@@ -91,29 +104,79 @@ def verified(stage: Stage, pairs: DataFrame, sets: DataFrame, similarity: Fracti
     return stage.write(both.mapInArrow(run, "a long, b long"), name)
 
 
-def sketched(docs: DataFrame, shingle: int, similarity: Fraction, counts: np.ndarray) -> DataFrame:
-    """(id, cls, n, fp, odd, heads) of docs(id, text): class, size, fingerprint, parities and prefix of each set."""
+def sketched(docs: DataFrame, shingle: int, n_buckets: int) -> DataFrame:
+    """(id, cls, n, fp, odd) of docs(id, text): class, size, fingerprint and parities of each set; and their shingles for the buckets.
+
+    A row for each bucket of a pack of documents has bucket, owners and keys; one with bucket -1 has the documents' classes and sizes.
+    """
     from rankforge.llm.simhash import majority, shingle_hashes
 
     kind = docs.schema["id"].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(counts)  # COUNTERS numbers
+    names = ["id", "cls", "n", "fp", *_ODD, "pack", "bucket", "owners", "keys"]
 
     def run(batches):
-        for b in batches:
-            cls, n, fp, heads, odd = [], [], [], [], []
-            for t in b.column(1):
-                h = shingle_hashes(t.as_py(), shingle)
-                s = np.unique(h)
-                cls.append(xxhash.xxh64_intdigest(s.tobytes()))
-                n.append(len(s))
-                fp.append(majority(h))
-                heads.append(prefix(s, sent.value, similarity))
-                odd.append(parities(s))
-            longs = [pa.array(x) for x in np.array(odd, np.int64).reshape(-1, len(_ODD)).T.copy()]
-            hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (cls, fp)]
-            yield pa.RecordBatch.from_arrays([b.column(0), hashes[0], pa.array(n, pa.int64()), hashes[1], *longs, pa.array(heads, pa.list_(pa.int64()))], names=["id", "cls", "n", "fp", *_ODD, "heads"])
-
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, cls long, n long, fp long, {', '.join(f'{w} long' for w in _ODD)}, heads array<long>")
+        for whole in batches:
+            for start in range(0, whole.num_rows, PACK):
+                b = whole.slice(start, PACK)
+                sets, fp, odd = [], [], []
+                for t in b.column(1):
+                    h = shingle_hashes(t.as_py(), shingle)
+                    sets.append(np.unique(h))
+                    fp.append(majority(h))
+                    odd.append(parities(sets[-1]))
+                n = np.array(list(map(len, sets)), np.int64)
+                cls = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                longs = [pa.array(x) for x in np.array(odd, np.int64).reshape(-1, len(_ODD)).T.copy()]
+                none = [pa.nulls(len(n), x) for x in (pa.int64(), pa.int32(), pa.binary(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls), pa.array(n), pa.array(np.array(fp, np.uint64).view(np.int64)), *longs, *none], names=names)
+                bucket, owners, keys = zip((-1, cls.tobytes(), n.tobytes()), *packed(sets, n_buckets))
+                none = [pa.nulls(len(bucket), x) for x in (b.column(0).type, *[pa.int64()] * (3 + len(_ODD)))]
+                pack = pa.array([uuid.uuid4().int >> 65] * len(bucket), pa.int64())
+                yield pa.RecordBatch.from_arrays([*none, pack, pa.array(bucket, pa.int32()), pa.array(owners, pa.binary()), pa.array(keys, pa.binary())], names=names)
+
+    longs = ", ".join(f"{w} long" for w in _ODD)
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, cls long, n long, fp long, {longs}, pack long, bucket int, owners binary, keys binary")
+
+
+def shared_prefixes(stage: Stage, packs: DataFrame, similarity: Fraction) -> DataFrame:
+    """(cls, pos, gram): of each class the shingles of its prefix that other documents hold as well, from all packs(pack, bucket, owners, keys)."""
+
+    def count(key, table):
+        table = table.combine_chunks()
+        keys = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("keys")]
+        _, at, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        n, ends = n[at], np.cumsum([0, *map(len, keys)])
+        out = []
+        for k, (owners, own) in enumerate(zip(table.column("owners"), keys)):
+            of = n[ends[k] : ends[k + 1]]
+            several = np.flatnonzero(of > 1)
+            owner = unpacked(owners.as_py(), len(own))[several].astype(np.uint16)
+            out.append((owner.tobytes(), own[several].tobytes(), np.minimum(of[several], 0xFFFFFFFF).astype(np.uint32).tobytes()))
+        binary = [pa.array(x, pa.binary()) for x in zip(*out)]
+        return pa.table([table.column("pack"), table.column("bucket"), *binary], names=["pack", "bucket", "owners", "keys", "counts"])
+
+    form = "pack long, bucket int, owners binary, keys binary, counts binary"
+    counted = packs.where("bucket >= 0").groupBy("bucket").applyInArrow(count, form)
+    counted = stage.write(counted.where(F.length("keys") > 0), "counted")
+
+    def gather(key, table):
+        rows = table.to_pylist()
+        cls, sizes = next((np.frombuffer(r["owners"], np.int64), np.frombuffer(r["keys"], np.int64)) for r in rows if r["bucket"] < 0)
+        rows = [r for r in rows if r["bucket"] >= 0]
+        owner, low, n = (np.concatenate([np.empty(0, kind), *(np.frombuffer(r[c], kind) for r in rows)]) for c, kind in (("owners", np.uint16), ("keys", np.uint32), ("counts", np.uint32)))
+        high = np.repeat(np.array([r["bucket"] for r in rows], np.int64), [len(r["counts"]) // 4 for r in rows])
+        owner, at, gram = prefixes(sizes, owner.astype(np.int64), high << 32 | low.astype(np.int64), n, similarity)
+        # Of equal sets in a pack one goes on.
+        first = np.zeros(len(cls), bool)
+        first[np.unique(cls, return_index=True)[1]] = True
+        keep = first[owner]
+        return pa.table([pa.array(cls[owner[keep]]), pa.array(at[keep], pa.int64()), pa.array(gram[keep], pa.int64())], names=["cls", "pos", "gram"])
+
+    heads = packs.where("bucket < 0").withColumn("counts", F.lit(None).cast("binary"))
+    found = heads.union(counted).groupBy("pack").applyInArrow(gather, "cls long, pos long, gram long")
+    found = stage.write(found, "heads")
+    stage.drop(counted)
+    return found
 
 
 def classes_of(docs: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
@@ -121,13 +184,16 @@ def classes_of(docs: DataFrame, shingle: int, similarity: Fraction) -> DataFrame
     from rankforge.llm import simhash
 
     stage = Stage(docs.sparkSession)
-    sketches = stage.write(sketched(docs, shingle, similarity, shingle_counts(docs, shingle)), "sketches")
+    n_buckets = 1 + (docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0) // BUCKET
+    packs = stage.write(sketched(docs, shingle, n_buckets), "sketches")
+    sketches = packs.where("bucket is null")
     # Of equal sets only the one of the smallest id goes on.
-    columns = ["id", "n", "fp", *_ODD, "heads"]
+    columns = ["id", "n", "fp", *_ODD]
     classes = sketches.groupBy("cls").agg(F.min(F.struct(*columns)).alias("s")).select("cls", *(f"s.{c}" for c in columns)).withColumnRenamed("id", "low")
     classes = stage.write(classes, "classes")
     members = stage.write(sketches.select("id", "cls"), "members")
-    stage.drop(sketches)
+    posts = shared_prefixes(stage, packs.where("bucket is not null").select("pack", "bucket", "owners", "keys"), similarity)
+    stage.drop(packs)
     near = stage.write(simhash.links(stage, classes.select("fp").distinct()), "near")
     # A fingerprint's smallest class stands for it; the others have the same fingerprint and meet that one.
     by_fp = stage.write(classes.select("fp", "cls").join(classes.groupBy("fp").agg(F.min("cls").alias("first")), "fp"), "by_fp")
@@ -135,11 +201,11 @@ def classes_of(docs: DataFrame, shingle: int, similarity: Fraction) -> DataFrame
     by_bits = near.join(firsts.withColumnsRenamed({"fp": "a", "first": "x"}), "a").join(firsts.withColumnsRenamed({"fp": "b", "first": "y"}), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     by_bits = by_bits.union(by_fp.where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b")))
 
-    posts = classes.select("cls", F.posexplode("heads").alias("pos", "gram"))
+    # Equal sets of different packs have the same rows.
     ends = posts.groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high")
     ends = stage.write(ends.select("gram", "low"), "ends")
-    met = stage.write(posts.join(ends, "gram"), "met")
-    stage.drop(ends)
+    met = stage.write(posts.join(ends, "gram").distinct(), "met")
+    stage.drop(ends, posts)
     small = stage.write(classes.select("cls", "n", *_ODD), "sizes")
     t, u = similarity.numerator, similarity.denominator
 
@@ -156,7 +222,7 @@ def classes_of(docs: DataFrame, shingle: int, similarity: Fraction) -> DataFrame
         return both.where(may_be("a_", "b_")).select("a", "b")
 
     stars = met.where("cls <> low").select(F.col("low").alias("a"), F.col("cls").alias("b")).union(by_bits).distinct()
-    stars = stage.write(possible(stars), "stars")
+    stars = stage.write(possible(stars).withColumn("g", F.col("a")), "stars")
 
     def whole(batches):
         for b in batches:
@@ -181,7 +247,7 @@ def classes_of(docs: DataFrame, shingle: int, similarity: Fraction) -> DataFrame
     enough = left * F.lit(u + t) >= (F.col("x.n") + F.col("y.n")) * F.lit(t)
     rest = (
         x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component")) & enough & may_be("x.", "y."))
-        .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+        .groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(F.min("x.gram").alias("g")).join(stars, ["a", "b"], "left_anti")
     )
     rest = stage.write(rest, "rest")
     stage.drop(labelled, open_)
