@@ -11,7 +11,7 @@ Each class meets the smallest one that holds its shingle, so a large group of ne
 not one for each pair. Then the classes of a shingle that are still in different components meet each other,
 except where too many shingles must differ: by their sizes, by the parities of the shingles in each of BITS parts
 (each different shingle turns one), or by what comes after the shingle in either order, which has to hold all others that
-they share if it is the first one.
+they share if it is the first one. Pairs to verify are dealt in tiles, so a set goes to a tile once, not to each of its pairs.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from rankforge.llm.common import Stage, components
 
-#: Characters of text for each bucket that counts shingles, documents packed together at most.
-BUCKET, PACK = 1 << 23, 2048
-BITS = 256
+#: Characters of text for each bucket that counts shingles, documents packed together at most, and classes on a tile's side.
+BUCKET, PACK, TILE = 1 << 23, 2048, 64
+BITS = 1024
 _ODD = [f"odd{k}" for k in range(BITS // 64)]
 
 
@@ -85,23 +85,27 @@ def parities(s: np.ndarray) -> np.ndarray:
 
 
 def verified(stage: Stage, pairs: DataFrame, sets: DataFrame, similarity: Fraction, name: str) -> DataFrame:
-    """Those of pairs(a, b) whose sets(cls, grams) are alike."""
-    side = lambda s: sets.select(F.col("cls").alias(s), F.col("grams").alias(f"{s}_grams"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_grams", "b_grams")
+    """Those of pairs(a, b, g) whose sets(cls, grams) are alike; pairs of a group g are compared tile by tile."""
+    sides = pairs.groupBy("g").agg(F.ceil(F.greatest(F.approx_count_distinct("a"), F.approx_count_distinct("b")) / TILE).alias("n"))
+    tile = lambda c: F.pmod(F.xxhash64(c, F.lit("tile")), F.col("n")).alias(f"t{c}")
+    tiled = stage.write(pairs.join(sides, "g").select("g", tile("a"), tile("b"), "a", "b"), "tiled")
+    needed = tiled.select(F.col("g").alias("of"), F.col("ta").alias("x"), F.col("tb").alias("y"), F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets, "cls")
     t, u = similarity.numerator, similarity.denominator
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for k in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[k].as_py(), np.uint64) for c in (2, 3))
-                equal = len(x) + len(y) - len(np.union1d(x, y))
-                if equal * u >= t * (len(x) + len(y) - equal):
-                    keep.append(k)
-            rows = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], names=["a", "b"])
-
-    return stage.write(both.mapInArrow(run, "a long, b long"), name)
+    def run(left, right):
+        grams = {c: np.frombuffer(s.as_py(), np.uint64) for c, s in zip(right.column("cls").to_pylist(), right.column("grams"))}
+        keep = []
+        for k, (a, b) in enumerate(zip(left.column("a").to_pylist(), left.column("b").to_pylist())):
+            x, y = grams[a], grams[b]
+            equal = len(x) + len(y) - len(np.union1d(x, y))
+            if equal * u >= t * (len(x) + len(y) - equal):
+                keep.append(k)
+        return left.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    found = tiled.groupBy("g", "ta", "tb").cogroup(needed.groupBy("of", "x", "y")).applyInArrow(run, "a long, b long")
+    found = stage.write(found, name)
+    stage.drop(tiled)
+    return found
 
 
 def sketched(docs: DataFrame, shingle: int, n_buckets: int) -> DataFrame:

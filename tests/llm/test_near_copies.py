@@ -46,3 +46,26 @@ def test_steps_of_owners_in_one_and_in_two_bytes():
     found = [(o, b, k) for b, owners, keys in jaccard.packed(sets, 3) for o, k in zip(jaccard.unpacked(owners, len(keys) // 4), np.frombuffer(keys, np.uint32))]
     assert sorted(found) == sorted((o, b, k) for o, s in enumerate(sets) for b, k in zip(*jaccard.keys_of(s, 3)))
 
+
+def test_sets_go_to_a_tile_once_whatever_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", 16)
+    rng = random.Random(5)
+    sets = {k: np.unique(np.array([rng.randrange(200) for _ in range(150)], np.uint64)) for k in range(60)}
+    alike = lambda a, b: 5 * len(np.intersect1d(sets[a], sets[b])) >= 2 * len(np.union1d(sets[a], sets[b]))
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    written = []
+
+    class Kept(Stage):
+        def write(self, df, name):
+            out = super().write(df, name)
+            if name == "tiled":
+                tiles = out.select("g", "ta", "tb", F.explode(F.array("a", "b")).alias("cls")).distinct()
+                written.append(tiles.count())
+            return out
+
+    grams = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in sets.items()], "cls long, grams binary")
+    got = jaccard.verified(Kept(spark), spark.createDataFrame([(a, b, 9) for a, b in pairs], "a long, b long, g long"), grams, Fraction(2, 5), "links")
+    found = {(r.a, r.b) for r in got.collect()}
+    assert found == {p for p in pairs if alike(*p)} and 100 < len(found) < len(pairs)
+    # Before, two sets went to each pair.
+    assert written[0] < len(pairs) / 3
