@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import Stage, components
+from rankforge.llm.common import Stage, components, release
 
 #: Characters of text for each bucket that counts shingles, documents packed together at most, and classes on a tile's side.
 BUCKET, PACK, TILE = 1 << 23, 2048, 64
@@ -119,6 +119,7 @@ def sketched(docs: DataFrame, shingle: int, n_buckets: int) -> DataFrame:
     names = ["id", "cls", "n", "fp", *_ODD, "pack", "bucket", "owners", "keys"]
 
     def run(batches):
+        release()
         for whole in batches:
             for start in range(0, whole.num_rows, PACK):
                 b = whole.slice(start, PACK)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import read
+from rankforge.llm.common import read, release
 
 BUCKETS, SMOOTH, ROUNDS, PRICE, MAX_LANGUAGES = 1 << 14, 0.5, 12, 3.0, 500
 UNKNOWN = "und"
@@ -162,6 +162,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     """
 
     def count(batches):
+        release()
         found: dict[str, np.ndarray] = {}
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

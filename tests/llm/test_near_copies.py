@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankforge.llm import jaccard
-from rankforge.llm.common import Stage
+from rankforge.llm import bpe, jaccard
+from rankforge.llm.common import Stage, release
 from tests_llm_helpers import docs
 
 
@@ -69,3 +69,9 @@ def test_sets_go_to_a_tile_once_whatever_their_pairs(spark, monkeypatch):
     assert found == {p for p in pairs if alike(*p)} and 100 < len(found) < len(pairs)
     # Before, two sets went to each pair.
     assert written[0] < len(pairs) / 3
+
+
+def test_a_worker_gives_back_the_encoders_of_earlier_operators(spark):
+    bpe._ENCODERS["key"] = object()
+    release()
+    assert not bpe._ENCODERS
