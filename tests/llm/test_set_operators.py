@@ -453,6 +453,22 @@ def test_a_passage_whose_pieces_stand_elsewhere_too(spark):
     assert {r.doc_id, r.other_id} == {66, 67} and r.end - r.start >= 70
 
 
+def test_a_fuzzy_passage_whose_seeds_stand_elsewhere_too(spark):
+    rng = random.Random(17)
+    words = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    rows, want = [], []
+    for x in range(6):
+        passage = words(90)
+        fuzzy = [f"e{x}" if k in (30, 61) else w for k, w in enumerate(passage)]
+        pieces = [" ".join(words(30) + passage[k : k + 5] + words(30)) for k in range(86)]
+        both = [" ".join(words(20) + passage + words(15)), " ".join(words(35) + fuzzy + words(10))]
+        want.append((len(rows) + 86, len(rows) + 87))
+        rows += pieces + both + [" ".join(words(30) + passage[k : k + 5] + words(30)) for k in range(86)]
+    found = passages.passages(docs(spark, list(enumerate(rows))).coalesce(1)).collect()
+    assert {tuple(sorted((r.doc_id, r.other_id))) for r in found} == set(want)
+    assert all(r.similarity >= 0.9 for r in found)
+
+
 def test_texts_that_repeat_themselves(spark):
     rows = [(0, "on at " * 300), (1, "on at " * 1000), (2, "x y z " + "on at " * 500), (3, "la " * 5000), (4, "la " * 20000)]
     found = passages.passages(docs(spark, rows).coalesce(1)).collect()
