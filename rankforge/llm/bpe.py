@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
 from functools import cache
 
@@ -35,10 +36,6 @@ VOCABULARY = "word_bpe_49k.json"
 #: Distinct words whose encodings a worker keeps from batch to batch, and pairs of tokens; beyond, it begins anew.
 MEMORY, PAIRS = 250_000, 250_000
 
-#: Words of texts in ASCII, in lower case.
-_ASCII = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
-
-
 def _ranges(codes: set[int]) -> str:
     """Code points as the inside of a character class."""
     starts, ends = sorted(c for c in codes if c - 1 not in codes), sorted(c for c in codes if c + 1 not in codes)
@@ -46,28 +43,33 @@ def _ranges(codes: set[int]) -> str:
 
 
 @cache
-def unicode_rules() -> tuple[str, dict[int, str]]:
-    """The pattern of words for all texts, and lower case where it isn't Python's, by the library's version of Unicode.
+def unicode_rules() -> tuple[str, str | None, dict[int, str]]:
+    """The pattern of words for all texts, that for texts in Latin-1, and lower case where it isn't Python's, by the library's version of Unicode.
 
     Letters, numbers and white space are asked of the library's own expressions, one block of code points after another.
+    Texts in Latin-1 are in NFC as they are, and remain in Latin-1 in lower case; the pattern for them is None if that isn't Python's.
     """
     names = (r"\p{L}", r"\p{N}", r"\s")
     ask = [pre_tokenizers.Split(Regex(name), "removed") for name in names]
-    more, less = ([set() for _ in names] for _ in range(2))
+    more, less, latin = ([set() for _ in names] for _ in range(3))
     lower, other = normalizers.Lowercase(), {0x3A3: "\u03c3"}
     for block in range(0, 0x110000, 0x800):
         if 0xD800 <= block <= 0xDFFF:
             continue
         codes = set(range(block, block + 0x800))
         text = "".join(map(chr, sorted(codes)))
-        for name, split, add, drop in zip(names, ask, more, less):
+        for name, split, add, drop, low in zip(names, ask, more, less, latin):
             theirs = codes.difference(ord(c) for piece, _ in split.pre_tokenize_str(text) for c in piece)
             ours = set(map(ord, regex.findall(name, text)))
             add |= theirs - ours
             drop |= ours - theirs
+            low |= {c for c in theirs if c < 256}
         other |= {ord(c): low for c in text if c != "\u03a3" and (low := lower.normalize_str(c)) != c.lower()}
     letter, number, space = (f"[[{n}{_ranges(m)}]--[{_ranges(d)}]]" if d else f"[{n}{_ranges(m)}]" for n, m, d in zip(names, more, less))
-    return rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|[^{space}{letter}{number}]+", other
+    words = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|[^{space}{letter}{number}]+"
+    letter, number, space = map(_ranges, latin)
+    plain = rf"[{letter}]+|'(?:s|t|re|ve|m|ll|d)|[{number}]|[^{space}{letter}{number}]+"
+    return words, None if any(c < 256 for c in other) else plain, other
 
 
 def byte_symbols() -> list[str]:
@@ -94,7 +96,7 @@ class Vocabulary:
         self.end: str = model["end_of_word_suffix"]
         self.merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.words, self.lower = unicode_rules()
+        self.words, self.plain, self.lower = unicode_rules()
 
 
 class Encoder:
@@ -118,11 +120,13 @@ class Encoder:
                 sound.add(t)
         self.inner = {t: i for t, i in v.ids.items() if i in sound and not t.endswith(v.end)}
         self.final = {t.removesuffix(v.end): i for t, i in v.ids.items() if i in sound and t.endswith(v.end)}
-        self.longest = max(map(len, self.final))
         self._automaton()
-        self.words, self.nfc = regex.compile(v.words), normalizers.NFC()
-        self.symbols = byte_symbols()
-        self.table = {b: s for b, s in enumerate(self.symbols)}
+        # Final tokens, and what they end in (-1 if that is no final token).
+        self.endings = dict.fromkeys((t[k:] for t in self.final for k in range(1, len(t))), -1) | self.final
+        self.words, self.plain, self.nfc = regex.compile(v.words), v.plain and re.compile(v.plain), normalizers.NFC()
+        # Of each byte its symbol; line feeds, which no word holds, stand between words.
+        self.symbols = np.array([ord(s) for s in byte_symbols()], "<u2")
+        self.symbols[10] = 10
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(v.added, key=len, reverse=True))) + ")") if v.added else None
         texts = [self.text.get(i, "").encode() + b" " for i in range(max(self.text) + 1)]
         self.token_text, self.token_ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
@@ -195,64 +199,76 @@ class Encoder:
         got = self._fits[a * self._width + b] = self._apart(a, b, 1 << 60)
         return got
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Encode distinct words: a depth-first walk through the trie of their byte symbols."""
-        final, longest, tails, jump, kept, width = self.final, self.longest, self.tails, self.jump, self._fits.get, self._width
-        spelt = sorted((self._spell(w), w) for w in words)
-        # Of the path from the root, by depth: the last token and its length, and the automaton's state.
-        before, last, ends, state = "", [-1], [0], [0]
-        for word, raw in spelt:
-            shared, top = 0, min(len(before), len(word), len(last) - 1)
+        tails, jump, kept, width, ending = self.tails, self.jump, self._fits.get, self._width, self.endings.get
+        raw = dict(zip(self._spell(words), words))
+        # Of the path from the root, by depth: the last token and its length, and the automaton's state; known up to depth.
+        size = max(map(len, raw)) + 1
+        last, ends, state = [-1] * size, [0] * size, [0] * size
+        index, flat, stops, before, depth = self.index, self.flat, self.ends, "", 0
+        for word in sorted(raw):
+            length = len(word)
+            shared, top = 0, min(depth, length - 1)
             while shared < top and before[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :], ends[shared + 1 :], state[shared + 1 :]
             at = state[shared]
-            for n in range(shared + 1, len(word)):
+            for n in range(shared + 1, length):
                 c = word[n - 1]
                 nxt = jump[at].get(c)
                 if nxt is None:
                     nxt = jump[at][c] = self._next(at, c)
                 at = nxt
-                for t, length in tails[at]:
-                    if length == n:
+                for t, long in tails[at]:
+                    if long == n:
                         break
-                    a = last[n - length]
+                    a = last[n - long]
                     if a >= 0:
                         ok = kept(a * width + t)
                         if self.fits(a, t) if ok is None else ok:
                             break
                 else:
-                    t, length = -1, 1
-                last.append(t)
-                ends.append(length)
-                state.append(at)
+                    t, long = -1, 1
+                last[n], ends[n], state[n] = t, long, at
+            before, depth = word, length - 1
+            # Final tokens that the word ends in, the longest one first.
+            may = []
+            for at in range(length - 1, -1, -1):
+                t = ending(word[at:])
+                if t is None:
+                    break
+                if t >= 0:
+                    may.append((at, t))
             ids = []
-            for at in range(max(0, len(word) - longest), len(word)):
-                t = final.get(word[at:])
-                if t is not None:
-                    if at:
-                        ok = kept(last[at] * width + t) if last[at] >= 0 else False
-                    if at == 0 or (self.fits(last[at], t) if ok is None else ok):
-                        ids.append(t)
-                        break
+            for at, t in reversed(may):
+                if at:
+                    a = last[at]
+                    if a < 0:
+                        continue
+                    ok = kept(a * width + t)
+                    if not (self.fits(a, t) if ok is None else ok):
+                        continue
+                ids.append(t)
+                break
+            else:
+                at = length - 1
             while at > 0:
                 ids.append(last[at])
                 at -= ends[at]
             ids.reverse()
-            self.index[raw] = len(self.index)
-            self.flat.extend(ids)
-            self.ends.append(len(self.flat))
-            before = word
+            index[raw[word]] = len(index)
+            flat.extend(ids)
+            stops.append(len(flat))
 
     def pieces(self, text: str) -> list[str]:
         """Words of a text without added tokens."""
-        if text.isascii():
-            return _ASCII.findall(text.lower())
+        if self.plain and (text.isascii() or _latin(text)):
+            return self.plain.findall(text.lower())
         return self.words.findall(self.nfc.normalize_str(text).translate(self.v.lower).lower())
 
-    def _spell(self, word: str) -> str:
-        """A word's bytes as symbols."""
-        return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.table)
+    def _spell(self, words: list[str]) -> list[str]:
+        """The words' bytes as symbols."""
+        return self.symbols[np.frombuffer("\n".join(words).encode(), np.uint8)].tobytes().decode("utf-16-le").split("\n")
 
     def encode_batch(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """For each text its ids as little-endian unsigned 32-bit integers, and the decoded text in UTF-8."""
@@ -277,7 +293,7 @@ class Encoder:
             counts.append(len(words) - before)
         found = list(map(self.index.get, words))
         if None in found:
-            self.learn({w for w, k in zip(words, found) if k is None})
+            self.learn(list({w for w, k in zip(words, found) if k is None}))
             found = list(map(self.index.__getitem__, words))
         flat, ends = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.ends, np.int64)
         at, word_ends = np.array(found, np.int64), np.cumsum([0, *counts])
@@ -291,6 +307,14 @@ class Encoder:
         return out
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def gather(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pieces flat[ends[k]:ends[k + 1]] for each k of at, one after another, and where each ends (from 0)."""
     starts = ends[at]

@@ -125,6 +125,18 @@ def test_every_code_point_is_encoded_as_by_the_library():
             assert got == b"".join(i.to_bytes(4, "little") for i in ids) and said.decode() == library.decode(ids, skip_special_tokens=False), repr(text)
 
 
+def test_texts_in_latin_1_need_no_normal_form_and_equal_the_library():
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    library, encoder = Tokenizer.from_file(path), bpe.Encoder(bpe.Vocabulary(path))
+    encoder.nfc = encoder.words = None
+    latin, rng = [chr(c) for c in range(256)], random.Random(8)
+    texts = [a + b for a in latin for b in latin] + [f"x{c}'S{c}it'{c}Don'T" for c in latin]
+    texts += ["".join(rng.choices("aeinorstéüßñ'", k=rng.randint(1, 60))) for _ in range(3000)] + ["ün" * 2000, "", None]
+    expected = [x.ids for x in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for text, ids, (got, said) in zip(texts, expected, encoder.encode_batch(texts)):
+        assert got == b"".join(i.to_bytes(4, "little") for i in ids) and said.decode() == library.decode(ids, skip_special_tokens=False), repr(text)
+
+
 def test_tokens_digest_and_odd_rows(spark):
     rows = bpe.encode(docs(spark, ODD), digest=True).collect()
     empty = hashlib.sha256(b"").hexdigest()
