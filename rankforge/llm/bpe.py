@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import pickle
 import re
 from array import array
 from functools import cache
@@ -25,16 +26,19 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from rankforge.llm.common import read
+from rankforge.llm.common import bounded_batches, read, release, trim
 
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct words whose encodings a worker keeps from batch to batch, and pairs of tokens; beyond, it begins anew.
 MEMORY, PAIRS = 250_000, 250_000
+#: Bytes of text that are encoded at once: what a word and a byte take meanwhile is many times that.
+LOT = 1 << 20
 
 def _ranges(codes: set[int]) -> str:
     """Code points as the inside of a character class."""
@@ -101,8 +105,9 @@ class Vocabulary:
 
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
-        v = self.v = vocabulary
-        self.text = {i: t for t, i in v.ids.items()} | {i: t for t, i in v.added.items()}
+        v = vocabulary
+        self.added, self.lower = v.added, v.lower
+        text = {i: t for t, i in v.ids.items()} | {i: t for t, i in v.added.items()}
         # Of each merge: its rank by the pair of ids; the rank and parts of each token that a merge makes.
         self.rank: dict[tuple[int, int], int] = {}
         self.made: dict[int, tuple[int, int, int]] = {}
@@ -118,17 +123,16 @@ class Encoder:
             # Only tokens whose own text is encoded as that token can occur.
             if a in sound and b in sound and self._apart(a, b, rank):
                 sound.add(t)
-        self.inner = {t: i for t, i in v.ids.items() if i in sound and not t.endswith(v.end)}
-        self.final = {t.removesuffix(v.end): i for t, i in v.ids.items() if i in sound and t.endswith(v.end)}
-        self._automaton()
+        self._automaton({t: i for t, i in v.ids.items() if i in sound and not t.endswith(v.end)})
+        final = {t.removesuffix(v.end): i for t, i in v.ids.items() if i in sound and t.endswith(v.end)}
         # Final tokens, and what they end in (-1 if that is no final token).
-        self.endings = dict.fromkeys((t[k:] for t in self.final for k in range(1, len(t))), -1) | self.final
+        self.endings = dict.fromkeys((t[k:] for t in final for k in range(1, len(t))), -1) | final
         self.words, self.plain, self.nfc = regex.compile(v.words), v.plain and re.compile(v.plain), normalizers.NFC()
         # Of each byte its symbol; line feeds, which no word holds, stand between words.
         self.symbols = np.array([ord(s) for s in byte_symbols()], "<u2")
         self.symbols[10] = 10
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(v.added, key=len, reverse=True))) + ")") if v.added else None
-        texts = [self.text.get(i, "").encode() + b" " for i in range(max(self.text) + 1)]
+        texts = [text.get(i, "").encode() + b" " for i in range(max(text) + 1)]
         self.token_text, self.token_ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
         self.forget()
 
@@ -137,12 +141,12 @@ class Encoder:
         self.index: dict[str, int] = {}
         self.flat, self.ends = array("I"), array("q", [0])
 
-    def _automaton(self) -> None:
+    def _automaton(self, inner: dict[str, int]) -> None:
         """Of each text read so far, which tokens it ends in: Aho-Corasick over the inner tokens, longest first."""
         self.step: list[dict[str, int]] = [{}]
         self.tails: list[tuple[tuple[int, int], ...]] = [()]
         own: list[tuple[tuple[int, int], ...]] = [()]
-        for t, i in self.inner.items():
+        for t, i in inner.items():
             at = 0
             for c in t:
                 nxt = self.step[at].get(c)
@@ -264,7 +268,7 @@ class Encoder:
         """Words of a text without added tokens."""
         if self.plain and (text.isascii() or _latin(text)):
             return self.plain.findall(text.lower())
-        return self.words.findall(self.nfc.normalize_str(text).translate(self.v.lower).lower())
+        return self.words.findall(self.nfc.normalize_str(text).translate(self.lower).lower())
 
     def _spell(self, words: list[str]) -> list[str]:
         """The words' bytes as symbols."""
@@ -278,12 +282,12 @@ class Encoder:
         counts = []
         for text in texts:
             before = len(words)
-            if text and any(a in text for a in self.v.added):
+            if text and any(a in text for a in self.added):
                 for part in self.cut.split(text):
-                    if part in self.v.added:
+                    if part in self.added:
                         if part not in self.index:
                             self.index[part] = len(self.index)
-                            self.flat.append(self.v.added[part])
+                            self.flat.append(self.added[part])
                             self.ends.append(len(self.flat))
                         words.append(part)
                     else:
@@ -326,12 +330,24 @@ def gather(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _encoder(vocabulary: Vocabulary) -> Encoder:
-    """A worker's encoder, kept from task to task."""
-    if vocabulary.key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[vocabulary.key] = Encoder(vocabulary)
-    return _ENCODERS[vocabulary.key]
+def _encoder(key: str, packed: bytes) -> Encoder:
+    """A worker's encoder, kept from task to task; the vocabulary it is made of, and what earlier operators left, goes."""
+    if key not in _ENCODERS:
+        release()
+        _ENCODERS[key] = Encoder(pickle.loads(packed))
+        trim()
+    return _ENCODERS[key]
+
+
+def lots(b: pa.RecordBatch, rows: int, size: int = LOT):
+    """Slices of a batch of ids and texts: so many rows, and so many bytes of text, at most, but one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < b.num_rows:
+        fit = int(np.searchsorted(ends, size + (ends[at - 1] if at else 0), "right"))
+        to = max(at + 1, min(at + rows, fit))
+        yield b.slice(at, to - at)
+        at = to
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, digest: bool = False, batch: int = 256) -> DataFrame:
@@ -339,15 +355,16 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     path: the vocabulary file, read by the driver only; it is sent to the executors (its size doesn't depend on docs).
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(path or public_tokenizers.path(VOCABULARY)))
+    bounded_batches(docs.sparkSession)
+    vocabulary = Vocabulary(path or public_tokenizers.path(VOCABULARY))
+    key, packed = vocabulary.key, docs.sparkSession.sparkContext.broadcast(pickle.dumps(vocabulary))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids binary, decoded string")
 
     def run(batches):
-        encoder = _encoder(vocabulary.value)
+        encoder = _encoder(key, packed.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, batch):
-                b = whole.slice(at, batch)
+            for b in lots(whole, batch):
                 got = encoder.encode_batch(b.column(1).to_pylist())
                 n = pa.array([len(i) // 4 for i, _ in got], pa.int64())
                 if digest:

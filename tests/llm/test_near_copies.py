@@ -5,11 +5,12 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rankforge.llm import bpe, jaccard
-from rankforge.llm.common import Stage, release
+from rankforge.llm.common import BATCH_KEY, Stage, release
 from tests_llm_helpers import docs
 
 
@@ -75,3 +76,41 @@ def test_a_worker_gives_back_the_encoders_of_earlier_operators(spark):
     bpe._ENCODERS["key"] = object()
     release()
     assert not bpe._ENCODERS
+
+
+def test_freed_memory_below_a_block_in_use_is_given_back():
+    anonymous = lambda: int(open("/proc/self/smaps_rollup").read().split("Anonymous:")[1].split()[0]) / 1024
+    blocks = [bytes(5000) for _ in range(30_000)]
+    last = [blocks.pop(), bytes(5000)]
+    del blocks
+    before = anonymous()
+    release()
+    assert last and anonymous() < before - 100
+
+
+def test_an_encoder_is_built_where_earlier_operators_left_nothing(monkeypatch):
+    said = []
+    monkeypatch.setattr(bpe, "release", lambda: said.append("release"))
+    monkeypatch.setattr(bpe, "trim", lambda: said.append("trim"))
+    monkeypatch.setattr(bpe, "Encoder", lambda vocabulary: said.append(vocabulary) or object())
+    monkeypatch.setattr(bpe, "_ENCODERS", {})
+    assert bpe._encoder("k", bpe.pickle.dumps("v")) is bpe._encoder("k", bpe.pickle.dumps("v"))
+    assert said == ["release", "v", "trim"]
+
+
+def test_batches_of_encoding_are_bounded_unless_the_caller_says(spark):
+    for own in (None, "3m"):
+        spark.conf.unset(BATCH_KEY)
+        if own:
+            spark.conf.set(BATCH_KEY, own)
+        assert bpe.encode(docs(spark, [(1, "a b")])).count() == 1 and spark.conf.get(BATCH_KEY) == (own or "8m")
+    spark.conf.unset(BATCH_KEY)
+
+
+def test_lots_hold_few_bytes_and_every_row():
+    texts = [None, "", "a" * 10, "ü" * 3, "b" * 50, None, "c", "d" * 9, *"efghij"]
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    got = [x.column(1).to_pylist() for x in bpe.lots(b.slice(0), 4, 16)]
+    assert sum(got, []) == texts and max(map(len, got)) == 4
+    assert all(len(x) == 1 or sum(len((t or "").encode()) for t in x) <= 16 for x in got)
+    assert sum((x.column(1).to_pylist() for x in bpe.lots(b.slice(3, 5), 4, 16)), []) == texts[3:8] and not list(bpe.lots(b.slice(0, 0), 4))
