@@ -7,8 +7,10 @@ share a shingle among the first n - ceil(t n) + 1 of each, whatever the order is
 shingles of all documents: their keys go, packed, to the bucket that counts them, and those that stand in several
 documents come back to theirs. A shingle of one document meets nothing, so only its number in a set is needed.
 
-Each class meets the smallest one that holds its shingle, so a large group of near copies costs a row for each prefix,
-not one for each pair. Then the classes of a shingle that are still in different components meet each other,
+Each class meets, for each shingle of its prefix, the class of about its size in which that shingle stands first: of the
+copies of a text the one with the fewest changes, which is alike to all that are alike to any. So a large group of near
+copies costs two rows for each shingle at most, not one for each pair; with a class that says nothing of its changes, as the smallest
+hash, most links of a group may be left over. Then the classes of a shingle that are still in different components meet each other,
 except where too many shingles must differ: by their sizes, by the parities of the shingles in each of BITS parts
 (each different shingle turns one), or by what comes after the shingle in either order, which has to hold all others that
 they share if it is the first one. Pairs to verify are dealt in tiles, so a set goes to a tile once, not to each of its pairs.
@@ -144,7 +146,7 @@ def sketched(docs: DataFrame, shingle: int, n_buckets: int) -> DataFrame:
 
 
 def shared_prefixes(stage: Stage, packs: DataFrame, similarity: Fraction) -> DataFrame:
-    """(cls, pos, gram): of each class the shingles of its prefix that other documents hold as well, from all packs(pack, bucket, owners, keys)."""
+    """(cls, pos, gram, size): of each class the shingles of its prefix that other documents hold as well, from all packs(pack, bucket, owners, keys)."""
 
     def count(key, table):
         table = table.combine_chunks()
@@ -175,15 +177,31 @@ def shared_prefixes(stage: Stage, packs: DataFrame, similarity: Fraction) -> Dat
         first = np.zeros(len(cls), bool)
         first[np.unique(cls, return_index=True)[1]] = True
         keep = first[owner]
-        return pa.table([pa.array(cls[owner[keep]]), pa.array(at[keep], pa.int64()), pa.array(gram[keep], pa.int64())], names=["cls", "pos", "gram"])
+        return pa.table([pa.array(cls[owner[keep]]), pa.array(at[keep], pa.int64()), pa.array(gram[keep], pa.int64()), pa.array(sizes[owner[keep]])], names=["cls", "pos", "gram", "size"])
 
     heads = packs.where("bucket < 0").withColumn("counts", F.lit(None).cast("binary"))
-    found = heads.union(counted).groupBy("pack").applyInArrow(gather, "cls long, pos long, gram long")
+    found = heads.union(counted).groupBy("pack").applyInArrow(gather, "cls long, pos long, gram long, size long")
     found = stage.write(found, "heads")
     stage.drop(counted)
     return found
 
 
+def centres(posts: DataFrame, similarity: Fraction) -> DataFrame:
+    """(cls, pos, gram, lows) of posts(cls, pos, gram, size) whose gram several classes hold; lows: the classes that each is to meet for it.
+
+    Bands of sizes are as wide as the similarity allows, and overlap by half: sizes that are closer have one in common, and a short
+    text inside many longer ones isn't the one that they meet.
+    """
+    step = F.log(F.col("size").cast("double")) / F.log(F.lit(float(1 / similarity)))
+    bands = F.array(F.floor(step) * 2, F.floor(step + 0.5) * 2 + 1)
+    by_band = posts.withColumn("band", F.explode(bands)).groupBy("gram", "band").agg(F.min(F.struct("pos", "cls")).alias("centre"), F.min("cls").alias("low"), F.max("cls").alias("high"))
+    held = by_band.groupBy("gram").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list(F.struct("band", F.col("centre.cls").alias("low"))).alias("centres"))
+    held = held.where("low <> high").select("gram", "centres")
+    lows = F.array_distinct(F.transform(F.filter("centres", lambda c: F.array_contains(bands, c["band"])), lambda c: c["low"]))
+    # Equal sets of different packs have the same rows.
+    return posts.join(held, "gram").select("cls", "pos", "gram", F.sort_array(lows).alias("lows")).distinct()
+
+
 def classes_of(docs: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
     """(id, component_id) for each row of docs(id, text); component_id is the smallest id reachable over links."""
     from rankforge.llm import simhash
@@ -206,11 +224,8 @@ def classes_of(docs: DataFrame, shingle: int, similarity: Fraction) -> DataFrame
     by_bits = near.join(firsts.withColumnsRenamed({"fp": "a", "first": "x"}), "a").join(firsts.withColumnsRenamed({"fp": "b", "first": "y"}), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     by_bits = by_bits.union(by_fp.where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b")))
 
-    # Equal sets of different packs have the same rows.
-    ends = posts.groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high")
-    ends = stage.write(ends.select("gram", "low"), "ends")
-    met = stage.write(posts.join(ends, "gram").distinct(), "met")
-    stage.drop(ends, posts)
+    met = stage.write(centres(posts, similarity), "met")
+    stage.drop(posts)
     small = stage.write(classes.select("cls", "n", *_ODD), "sizes")
     t, u = similarity.numerator, similarity.denominator
 
@@ -221,13 +236,14 @@ def classes_of(docs: DataFrame, shingle: int, similarity: Fraction) -> DataFrame
         return (F.least(m, n) * F.lit(u) >= F.greatest(m, n) * F.lit(t)) & (differ * F.lit(u + t) <= (m + n) * F.lit(u - t))
 
     def possible(pairs: DataFrame) -> DataFrame:
-        """Those of pairs(a, b) that may be alike."""
+        """Those of pairs(a, b, g) that may be alike."""
         side = lambda s: small.select(*(F.col(c).alias(f"{s}_{c}") for c in small.columns))
         both = pairs.join(side("a"), F.col("a") == F.col("a_cls")).join(side("b"), F.col("b") == F.col("b_cls"))
-        return both.where(may_be("a_", "b_")).select("a", "b")
+        return both.where(may_be("a_", "b_")).select("a", "b", "g")
 
-    stars = met.where("cls <> low").select(F.col("low").alias("a"), F.col("cls").alias("b")).union(by_bits).distinct()
-    stars = stage.write(possible(stars).withColumn("g", F.col("a")), "stars")
+    stars = met.select("cls", F.explode("lows").alias("g")).where("cls <> g").select(F.least("cls", "g").alias("a"), F.greatest("cls", "g").alias("b"), "g")
+    stars = stars.union(by_bits.withColumn("g", F.col("a"))).groupBy("a", "b").agg(F.min("g").alias("g"))
+    stars = stage.write(possible(stars), "stars")
 
     def whole(batches):
         for b in batches:
@@ -242,7 +258,7 @@ def classes_of(docs: DataFrame, shingle: int, similarity: Fraction) -> DataFrame
     links = verified(stage, stars, sets, similarity, "star_links")
     stage.drop(sets)
     parts = components(stage, links)
-    labelled = met.drop("low").join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    labelled = met.drop("lows").join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     labelled = stage.write(labelled, "labelled")
     stage.drop(met)
     open_ = labelled.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram")

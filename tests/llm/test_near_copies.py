@@ -114,3 +114,37 @@ def test_lots_hold_few_bytes_and_every_row():
     assert sum(got, []) == texts and max(map(len, got)) == 4
     assert all(len(x) == 1 or sum(len((t or "").encode()) for t in x) <= 16 for x in got)
     assert sum((x.column(1).to_pylist() for x in bpe.lots(b.slice(3, 5), 4, 16)), []) == texts[3:8] and not list(bpe.lots(b.slice(0, 0), 4))
+
+
+def test_copies_meet_the_one_with_the_fewest_changes(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(400)]
+    texts = [" ".join(base)]
+    for k in range(150):
+        words, changes = base.copy(), 4 if k < 60 else 5 + k % 4
+        for at in rng.sample(range(5, 395, 5), changes):
+            words[at] = f"c{k}x{at}"
+        texts.append(" ".join(words))
+    sets = [set(jaccard.shingle_set(t, 5).tolist()) for t in texts]
+    alike = sum(5 * len(x & y) >= 4 * len(x | y) for i, x in enumerate(sets) for y in sets[:i])
+    written = {}
+
+    class Kept(Stage):
+        def write(self, df, name):
+            out = super().write(df, name)
+            written[name] = out.count()
+            return out
+
+    monkeypatch.setattr(jaccard, "Stage", Kept)
+    t = docs(spark, list(enumerate(texts))).select(F.col("doc_id").alias("id"), "text")
+    found = {r.id: r.component_id for r in jaccard.classes_of(t, 5, Fraction(4, 5)).collect()}
+    # The unchanged text is alike to all; besides, those with four changes are alike to each other.
+    assert found == dict.fromkeys(range(151), 0) and alike > 1500
+    assert written["rest"] == 0 and written["stars"] <= 4 * len(texts)
+
+
+def test_a_short_text_inside_longer_ones_is_not_the_one_they_meet(spark):
+    posts = [(1, 0, 7, 40), (2, 3, 7, 100), (3, 1, 7, 104), (5, 9, 7, 96), (5, 9, 7, 96), (2, 4, 8, 100), (2, 4, 8, 100), (1, 2, 9, 40), (2, 2, 9, 100)]
+    got = jaccard.centres(spark.createDataFrame(posts, "cls long, pos long, gram long, size long"), Fraction(4, 5))
+    # A gram of one class goes; one of two that cannot be alike stays, and none of them meets the other.
+    assert sorted((r.gram, r.cls, r.pos, r.lows) for r in got.collect()) == [(7, 1, 0, [1]), (7, 2, 3, [3]), (7, 3, 1, [3]), (7, 5, 9, [3, 5]), (9, 1, 2, [1]), (9, 2, 2, [2])]
