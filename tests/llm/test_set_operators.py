@@ -600,3 +600,25 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert held.count() == mixed.count() and max(r["count"] for r in mixed.groupBy("doc_id").count().collect()) <= 2
     whole = corpus_pipeline.run(spark, str(tmp_path / "sf"))
     assert sorted(map(str, whole.collect())) == sorted(map(str, held.collect()))
+
+
+def test_runs_and_ends_of_passages_cost_no_step_too_many(monkeypatch):
+    rng = np.random.default_rng(3)
+    h, mixed, calls = rng.integers(0, 1 << 63, 300, dtype=np.uint64), passages._mixed, []
+    monkeypatch.setattr(passages, "_mixed", lambda a, b: calls.append(len(a)) or mixed(a, b))
+    five = passages.runs(h, 5)
+    # Runs of 2 and of 4, and two parts put together; before, runs of 8, too.
+    assert len(calls) == 4
+    assert all((passages.runs(h[k : k + 5], 5) == five[k]).all() for k in range(296))
+    shared = np.arange(0, 290, 3)
+    for f in (passages.neighbours, passages.shared_runs):
+        for x, y in zip(f(h, shared, 50), f(h, shared, 50, five)):
+            assert (x == y).all()
+    for alike in (0, 3, 7, 8, 9, 71, 72, 73, 200):
+        a = np.arange(200)
+        b = np.where(a < alike, a, -1)
+        assert passages.extend(a, b) == (alike, alike)
+        # One word that differs, and more that are alike after it.
+        b[alike // 2] = -2
+        rest = alike - alike // 2 - 1
+        assert passages.extend(a, b) == ((alike, alike - 1) if rest > 2 else (alike // 2, alike // 2))
