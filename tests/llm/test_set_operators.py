@@ -622,3 +622,64 @@ def test_runs_and_ends_of_passages_cost_no_step_too_many(monkeypatch):
         b[alike // 2] = -2
         rest = alike - alike // 2 - 1
         assert passages.extend(a, b) == ((alike, alike - 1) if rest > 2 else (alike // 2, alike // 2))
+
+
+def test_texts_hashed_together_have_the_places_they_have_alone(monkeypatch):
+    rng = random.Random(21)
+    words = lambda n: " ".join(rng.choice(["la", f"v{rng.randrange(40)}", f"é{rng.randrange(10**9)}"]) for _ in range(n))
+    texts = [words(rng.choice([0, 1, 4, 5, 15, 16, 17, 49, 50, 51, 52, 53, 54, 70, 300])) for _ in range(120)] + ["", " \x0b\x0c ", "a" * 5000]
+    alone = [passages.word_hashes(t) for t in texts]
+    mixed, calls = passages._mixed, []
+    monkeypatch.setattr(passages, "_mixed", lambda a, b: calls.append(len(a)) or mixed(a, b))
+    for most in (0, 2000, passages.LOT):
+        calls.clear()
+        lots = list(passages.hashed([t.encode() for t in texts], most))
+        # Before, texts were hashed one by one.
+        assert len(calls) == len(lots) and (most != 0 or len(lots) == len(texts)) and (most != passages.LOT or len(lots) == 1)
+        done = 0
+        for first, h, bounds in lots:
+            assert first == done and bounds[0] == 0 and bounds[-1] == len(h)
+            done += len(bounds) - 1
+            sides = list(zip(alone[first:done], bounds.tolist(), bounds[1:].tolist()))
+            assert all((h[i:j] == x).all() and len(x) == j - i for x, i, j in sides)
+            want = [(i + p, key) for x, i, _ in sides for p, key in zip(*(v.tolist() for v in passages.seeds(x)))]
+            assert list(zip(*(v.tolist() for v in passages.seeds(h, bounds)))) == want
+            for share in (0.8, 1.0):
+                shared = [np.array([p for p in passages.seeds(x)[0].tolist() if rng.random() < share], int) for x, _, _ in sides]
+                all_shared = np.concatenate([p + i for p, (_, i, _) in zip(shared, sides)])
+                for f, shift in ((passages.neighbours, (1 << 32) + 1), (passages.shared_runs, 1)):
+                    want = [(p + i * shift, key) for s, (x, i, _) in zip(shared, sides) if len(x) >= 50 for p, key in zip(*(v.tolist() for v in f(x, s, 50)))]
+                    got = zip(*(v.tolist() for v in f(h, all_shared, 50, None, bounds)))
+                    long = {k for _, i, j in sides if j - i >= 50 for k in range(i, j)}
+                    assert [(p, key) for p, key in got if (p >> 32 if shift > 1 else p) in long] == want
+        assert done == len(texts)
+
+
+def test_segments_of_many_pairs_are_those_of_each():
+    rng = np.random.default_rng(22)
+    of = np.sort(rng.integers(0, 30, 600))
+    p, q, n = rng.integers(0, 60, 600), rng.integers(0, 60, 600) // 9 * 9, rng.choice([5, 50], 600)
+    found, number = passages.segments(of, p, q, n)
+    for k in range(30):
+        one, _ = passages.segments(of[of == k], p[of == k], q[of == k], n[of == k])
+        assert (found[number == k] == one).all()
+    assert len(number) == len(found) > 100
+
+
+def test_first_and_last_documents_of_passages_are_found_without_sorting(spark, monkeypatch):
+    rng = random.Random(23)
+    words = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    passage, plans, write = words(60), {}, Stage.write
+
+    def seen(self, df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df, name)
+
+    monkeypatch.setattr(Stage, "write", seen)
+    rows = [(k, " ".join(words(40) + passage + words(30) + passage * (k == 1))) for k in range(4)]
+    found = passages.passages(docs(spark, rows).repartition(2)).collect()
+    assert {r.doc_id for r in found} | {r.other_id for r in found} == {0, 1, 2, 3}
+    assert len(plans["shared"]) == len(plans["met"]) == 2
+    # Before: a SortAggregate for each kind of key, and a join that sorted all places.
+    assert all("HashAggregate" in p and "Sort" not in p for p in plans["shared"])
+    assert all("ShuffledHashJoin" in p and "Sort" not in p for p in plans["met"])
