@@ -683,3 +683,23 @@ def test_first_and_last_documents_of_passages_are_found_without_sorting(spark, m
     # Before: a SortAggregate for each kind of key, and a join that sorted all places.
     assert all("HashAggregate" in p and "Sort" not in p for p in plans["shared"])
     assert all("ShuffledHashJoin" in p and "Sort" not in p for p in plans["met"])
+
+
+def test_a_first_text_goes_only_to_as_many_salts_as_it_needs(spark, monkeypatch):
+    rng = random.Random(24)
+    words = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    passage, dealt, write = words(60), [], Stage.write
+
+    def seen(self, df, name):
+        out = write(self, df, name)
+        if "salt" in df.columns:
+            dealt.extend(out.select("a", "b", "salt").collect())
+        return out
+
+    monkeypatch.setattr(Stage, "write", seen)
+    found = passages.passages(docs(spark, [(k, " ".join(words(40) + passage + words(30))) for k in range(41)]).coalesce(1)).collect()
+    assert {r.doc_id for r in found} | {r.other_id for r in found} == set(range(41))
+    met = Counter(r.a for r in dealt)
+    assert max(met.values()) == 40
+    # Before, by one of 256 numbers for each document met.
+    assert all(len({r.salt for r in dealt if r.a == a}) <= math.ceil(n / 8) for a, n in met.items())
