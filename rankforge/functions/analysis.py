@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A word: letters, digits and underscores; an apostrophe inside it doesn't end it.
-WORD = r"[\p{L}\p{N}_]+(?:['’][\p{L}\p{N}_]+)*"
+WORD = r"[a-z0-9_\p{L}\p{N}]++(?:['’][a-z0-9_\p{L}\p{N}]++)*+"
 #: The customary short English list.
 STOPWORDS = frozenset(
     "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()

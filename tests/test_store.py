@@ -1,7 +1,9 @@
 """Written indexes: what their readers touch."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from rankforge.functions.analysis import Analyzer
 from rankforge.operators import models, prf
 from rankforge.operators.rank import rank
 from rankforge.sources.corpus import from_documents
@@ -41,3 +43,29 @@ def test_feedback_reads_its_documents_alone(spark, pair):
 def test_frequencies_of_terms_are_read_and_those_of_operators_counted(spark, pair):
     plan = rank(pair[1], {"1": "#sum(red apple)"}, models.BM25(), 10)._jdf.queryExecution().executedPlan().toString()
     assert "/terms" in plan and plan.count("/postings") == 1
+
+
+def test_postings_are_made_without_a_shuffle_and_texts_split_once(spark, pair):
+    plan = pair[0].postings._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("regexp_extract_all") == 1
+
+
+def test_postings_of_odd_texts(spark, tmp_path):
+    rows = [(3, "pear the pear", "en", "s"), (1, "the of", "en", "s"), (2, "", "en", "s"), (0, None, "en", "s"), (4, "the pear apple of pear the", "en", "s")]
+    built = Index.build(from_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    built.write(str(tmp_path / "ix"))
+    stored = Index.open(spark, str(tmp_path / "ix"))
+    stored.write(str(tmp_path / "again"))
+    for index in (built, stored, Index.open(spark, str(tmp_path / "again"))):
+        for table in (index.postings, index.vectors or index.postings):
+            got = sorted((r.term, r.docid, r.tf, r.len_all, r.positions) for r in table.collect())
+            assert got == [("apple", 4, 1, 6, [2]), ("pear", 3, 2, 3, [0, 2]), ("pear", 4, 2, 6, [1, 4])]
+        lengths = sorted((r.docid, r.len_all, r.len_positions, r.n_indexed) for r in index.doc_len.collect())
+        assert lengths == [(0, 0, 0, 0), (1, 2, 0, 0), (2, 0, 0, 0), (3, 3, 3, 2), (4, 6, 5, 3)]
+        assert sorted(map(tuple, index.term_stats().collect())) == [("body", "apple", 1, 1), ("body", "pear", 2, 4)]
+
+
+def test_a_stemmer_may_be_a_python_function(spark):
+    first = F.udf(lambda w: w[:3])
+    index = Index.build(from_documents(spark.createDataFrame([(1, "apples the apply pear", "en", "s")], "doc_id long, text string, lang string, source string")), Analyzer(stem=(first, lambda w: w[:3])))
+    assert sorted((r.term, r.positions) for r in index.postings.collect()) == [("app", [0, 2]), ("pea", [3])]
