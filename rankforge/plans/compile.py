@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 
 from rankforge.functions import positions
 from rankforge.plans.tree import Node
-from rankforge.sources.index import Index
+from rankforge.sources.index import FILTER_TERMS, Index
 
-#: Up to so many distinct terms are a filter that reaches the files; more are a broadcast join.
-FILTER_TERMS = 1000
 #: Up to so many nodes (a few MB) are broadcast.
 BROADCAST_NODES = 100_000
 
@@ -59,7 +57,8 @@ class _Batch:
     """
 
     def __init__(self, index: Index, trees: dict[str, Node]):
-        self.index, self.entries = index, number(trees)
+        self.entries = number(trees)
+        self.index = index.of_terms((e.node.field, e.node.term) for e in self.entries if e.node.op == "TERM")
         # Of chains that only a SCORE sees, the number is enough; it needs ascending lists, so not chains of chains.
         self.counted = {e.id for e in self.entries if e.node.op == "NEAR" and self._parent_op(e) == "SCORE" and all(a.op != "NEAR" for a in e.node.args)}
         self._made: dict[int, DataFrame] = {}

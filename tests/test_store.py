@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from rankforge.functions.analysis import Analyzer
 from rankforge.operators import models, prf
 from rankforge.operators.rank import rank
+from rankforge.operators.rerank import linear_scorer
 from rankforge.sources.corpus import from_documents
 from rankforge.sources.index import Index
 
@@ -69,3 +70,29 @@ def test_a_stemmer_may_be_a_python_function(spark):
     first = F.udf(lambda w: w[:3])
     index = Index.build(from_documents(spark.createDataFrame([(1, "apples the apply pear", "en", "s")], "doc_id long, text string, lang string, source string")), Analyzer(stem=(first, lambda w: w[:3])))
     assert sorted((r.term, r.positions) for r in index.postings.collect()) == [("app", [0, 2]), ("pea", [3])]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rankings_of_a_built_index_split_texts_once(spark, pair):
+    plan = _plan(rank(pair[0], {"1": "#sum(red #near/2(apple pie))", "2": "tart"}, models.BM25(), 10))
+    assert "regexp_extract_all" not in plan and "FileScan parquet" in plan
+
+
+def test_frequencies_of_all_terms_send_no_postings(spark, pair):
+    plan = _plan(pair[0].term_stats())
+    assert plan.count("regexp_extract_all") == 1 and plan.count("Exchange") == 1 and "docid" not in plan.split("Exchange")[0]
+
+
+def test_feedback_on_a_built_index_counts_documents_of_its_terms_without_postings(spark, pair):
+    best = rank(pair[0], {"1": "red"}, models.BM25(), 10)
+    plan = _plan(prf.term_scores(pair[0], best, prf.Feedback("okapi", 2, 5)))
+    assert plan.count("regexp_extract_all") == 1 and "collect_list(pos" not in plan
+
+
+def test_a_linear_scorer_reads_the_lengths_of_its_documents_alone(spark, pair):
+    best = rank(pair[1], {"1": "red"}, models.BM25(), 10)
+    scored = linear_scorer(pair[1], {"length:body": 1.0})(best)
+    assert "In(docid" in _plan(scored) and {r.docid: r.score for r in scored.collect()} == {0: 3.0, 1: 2.0, 4: 5.0}
