@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankforge.sources.corpus import FIELDS
+from rankforge.sources.corpus import FIELDS, materialised
 from rankforge.sources.index import Index
 
 
@@ -20,6 +20,8 @@ from rankforge.sources.index import Index
 TF_OFFSET, TF_LENGTH = 0.5, 1.5
 #: Up to so many best documents are a filter that reaches the files; more are joined.
 FILTER_DOCS = 1000
+#: Up to so many of their terms (a few MB) are broadcast.
+BROADCAST_TERMS = 100_000
 
 
 @dataclass(frozen=True)
@@ -59,11 +61,13 @@ def term_scores(index: Index, ranking: DataFrame, f: Feedback) -> DataFrame:
     met = found.join(best, "docid").join(lengths, "docid")
     if f.algorithm == "okapi":
         # Document frequencies only of the terms that the best documents hold.
-        held = met.select("term").distinct()
         if index.terms is not None:
-            df = index.terms.where(in_field).select("term", "df").join(held, "term", "left_semi")
+            df = index.terms.where(in_field).select("term", "df").join(met.select("term").distinct(), "term", "left_semi")
         else:
-            df = index.postings.where(in_field).select("term").join(held, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+            met = materialised(met)
+            held = met.select("term").distinct()
+            held = F.broadcast(held) if held.count() <= BROADCAST_TERMS else held
+            df = index.doc_terms(f.field_in).join(held, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
         tf = F.col("tf") / (F.col("tf") + TF_OFFSET + TF_LENGTH * F.col("length") / F.lit(index.stats(f.field_in).average))
         rsj = F.log((F.lit(float(index.num_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         each = met.join(df, "term").withColumn("s", tf * rsj)
