@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from rankforge.sources.index import Index
 
+#: Up to so many best documents are a filter; more are joined.
+FILTER_DOCS = 1000
 #: Takes (qid, docid, ext_id, score, rank) of the best documents, gives (qid, docid, ext_id, score).
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -32,9 +34,13 @@ def linear_scorer(index: Index, weights: dict[str, float]) -> Scorer:
     """score = weights of `score`, `rank`, and `length:<field>` (with stopwords), summed."""
 
     def scorer(best: DataFrame) -> DataFrame:
+        lengths = [name for name in weights if name.startswith("length:")]
+        # Few documents are a filter that reaches the files: no other text is split into words.
+        docids = [r.docid for r in best.select("docid").distinct().limit(FILTER_DOCS + 1).collect()] if lengths else []
+        few = F.col("docid").isin(docids) if len(docids) <= FILTER_DOCS else F.lit(True)
         for name in weights:
-            if name.startswith("length:"):
-                own = index.doc_len.where(F.col("field") == name[7:]).select("docid", F.col("len_all").alias(name))
+            if name in lengths:
+                own = index.doc_len.where(few & (F.col("field") == name[7:])).select("docid", F.col("len_all").alias(name))
                 best = best.join(own, "docid", "left").fillna(0, [name])
         total = sum((F.col(f"`{n}`") * w for n, w in weights.items()), F.lit(0.0))
         return best.select("qid", "docid", "ext_id", total.cast("double").alias("score"))
